@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Code points counted as white space by every word rule of this subpackage.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -28,3 +30,26 @@ def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and go on from there, so that a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def row_wise(run: Callable, ddl: str) -> Callable:
+    """A column function from an iterator over Arrow arrays; state is built once for each task.
+
+    It counts as non-deterministic, so that a filter on its result is not pushed below it and
+    does not run it twice.
+    """
+    return F.arrow_udf(run, ddl, F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+
+
+def unit_hash(*columns: str) -> Column:
+    """A number in [0, 1) from a hash of the columns, the same on every run."""
+    return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+
+
+#: Ids that may be broadcast: 16 MB of longs. Beyond it the same join shuffles both sides.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """Semi or anti join of wide rows with a written list of ids: broadcast only where its counted size is in bounds."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), key, how)
