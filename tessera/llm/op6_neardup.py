@@ -10,9 +10,10 @@ empty: work per text follows K and its number of elements, not their product.
 
 Candidates. BANDS bands of ROWS coordinates each are hashed to bucket keys. A bucket is never paired
 with itself: its members are compared with one leader, the member that shares buckets with most others.
-Members that fail are dealt again among themselves until no bucket has two left; members that fail
-narrowly (similarity of 0.6 or more, where the triangle inequality of Jaccard distance still
-allows a link to a member that passed) are then compared with a random member of each of their buckets.
+Members that are near no leader stay, with twice as many leaders each round, until none is left.
+Members that fail narrowly (similarity of 0.6 or more, where the triangle inequality of Jaccard
+distance still allows a link to a member that passed) are then compared with two random members of
+each of their buckets.
 
 Check. Candidate pairs are verified on their shingle sets (32-bit ids). Verified links go to
 alternating large-star and small-star rounds; classes, links and fingerprints stay in Spark.
@@ -29,6 +30,7 @@ are not read.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -138,9 +140,9 @@ def signatures(doc: np.ndarray, elements: np.ndarray, weights: np.ndarray, rows:
 
 def bands(signature: np.ndarray, n_bands: int = BANDS) -> np.ndarray:
     """(row, band) bucket keys; the band's number is part of the key."""
-    rows = signature.shape[1] // n_bands
-    parts = signature.reshape(len(signature), n_bands, rows)
-    return mix((parts * _STEP[:rows]).sum(axis=2, dtype=np.uint64) ^ (np.arange(n_bands, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)))
+    per_band = signature.shape[1] // n_bands
+    parts = signature.reshape(len(signature), n_bands, per_band)
+    return mix((parts * _STEP[:per_band]).sum(axis=2, dtype=np.uint64) ^ (np.arange(n_bands, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)))
 
 
 def signed(docs: DataFrame, weighting: str = "binary") -> DataFrame:
@@ -211,27 +213,33 @@ def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     members = cut(members.join(degree, "rep").select("key", "rep", "degree"))
     sets = cut(shingle_sets(by_ids(docs.where("text IS NOT NULL"), degree.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
 
-    found = narrow = tested = None
-    rest = members
+    tested: list[DataFrame] = []
+    rest, slots = members, 1
     while True:
-        leaders = cut(rest.groupBy("key").agg(F.max_by("rep", "degree").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-        led = cut(rest.join(leaders, "key").where("rep <> leader"))
-        pairs = led.select(F.col("rep").alias("u"), F.col("leader").alias("v")).distinct()
-        fresh = pairs if tested is None else pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti")
-        judged = cut(verified(fresh, sets))
-        tested = judged if tested is None else cut(tested.union(judged))
-        failed = tested.where(F.col("similarity") < similarity).select(F.col("u").alias("rep"), F.col("v").alias("leader"))
-        rest = cut(led.join(failed, ["rep", "leader"]).select("key", "rep", "degree"))
+        slot = F.pmod(F.xxhash64("key", "rep"), F.lit(slots))
+        leaders = rest.groupBy("key", slot.alias("slot")).agg(F.max_by("rep", "degree").alias("leader"))
+        led = rest.join(leaders, "key").select("key", "rep", "degree", "leader", F.greatest("rep", "leader").alias("u"), F.least("rep", "leader").alias("v"))
+        pairs = led.where("u > v").select("u", "v").distinct()
+        for known in tested:
+            pairs = pairs.join(known, ["u", "v"], "left_anti")
+        tested.append(cut(verified(pairs, sets)))
+        near = reduce(DataFrame.union, tested).where(F.col("similarity") >= similarity).select("u", "v", F.lit(True).alias("near"))
+        # Done in this bucket: its leaders, whom all have met, and who is near one of them.
+        done = led.join(near, ["u", "v"], "left").groupBy("key", "rep", "degree").agg(F.max((F.col("u") == F.col("v")) | F.col("near").isNotNull()).alias("done"))
+        left = done.where(~F.col("done")).drop("done")
+        rest = cut(left)
         if rest.isEmpty():
             break
-    found = tested.where(F.col("similarity") >= similarity)
-    narrow = tested.where((F.col("similarity") < similarity) & (F.col("similarity") >= 2 * similarity - 1))
-    lost = cut(narrow.select(F.col("u").alias("rep")).distinct())
-    wanted = members.join(lost, "rep").select("key", "rep")
-    picks = cut(members.groupBy("key").agg(F.max_by("rep", unit_hash("key", "rep")).alias("v"), F.min_by("rep", unit_hash("key", "rep")).alias("w")))
-    chosen = wanted.join(picks, "key").select(F.col("rep").alias("u"), F.explode(F.array("v", "w")).alias("v")).where("u <> v").distinct()
-    second = cut(verified(chosen.join(tested.select("u", "v"), ["u", "v"], "left_anti"), sets))
-    return found.select("u", "v").union(second.where(F.col("similarity") >= similarity).select("u", "v"))
+        slots *= 2
+    judged = reduce(DataFrame.union, tested)
+    found = judged.where(F.col("similarity") >= similarity).select("u", "v")
+    narrow = judged.where((F.col("similarity") < similarity) & (F.col("similarity") >= 2 * similarity - 1))
+    lost = narrow.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
+    picks = members.groupBy("key").agg(*(f("rep", unit_hash("key", "rep")).alias(n) for n, f in (("p", F.max_by), ("q", F.min_by))))
+    chosen = members.join(lost, "rep").join(picks, "key").select("rep", F.explode(F.array("p", "q")).alias("other"))
+    chosen = chosen.where("rep <> other").select(F.greatest("rep", "other").alias("u"), F.least("rep", "other").alias("v")).distinct()
+    second = cut(verified(chosen.join(judged, ["u", "v"], "left_anti"), sets))
+    return found.union(second.where(F.col("similarity") >= similarity).select("u", "v"))
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "binary") -> DataFrame:
