@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import ALNUM, Chunk, chunks, mix
-from tessera.llm.runtime import by_ids, cut, read, unit_hash
+from tessera.llm.runtime import by_ids, cut, read, unit_hash, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -243,17 +243,32 @@ def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "binary") -> DataFrame:
-    """(doc_id, class_id) for each row of `docs` (doc_id, text)."""
+    """(doc_id, text_key, class_id) for each row of `docs` (doc_id, text); text_key is xxhash64 of the text."""
     marked = cut(signed(docs, weighting))
     copies = cut(marked.groupBy("a", "b").agg(F.min("doc_id").alias("rep")))
-    member = cut(marked.select("doc_id", "a", "b").join(copies, ["a", "b"]).select("doc_id", "rep"))
+    member = cut(marked.select("doc_id", "a", "b").join(copies, ["a", "b"]).select("doc_id", "a", "rep"))
     nodes = marked.join(copies.select("a", "b", F.col("rep").alias("doc_id")), ["a", "b", "doc_id"], "left_semi").where(F.size("keys") > 0).dropDuplicates(["doc_id", "a", "b"])
     labels = components(links(nodes.select("doc_id", "keys"), docs, similarity))
-    named = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
-    alone = docs.where("doc_id IS NULL OR text IS NULL").select("doc_id", F.col("doc_id").alias("class_id"))
+    named = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("a").alias("text_key"), F.coalesce("label", "rep").alias("class_id"))
+    alone = docs.where("doc_id IS NULL OR text IS NULL").select("doc_id", F.xxhash64("text").alias("text_key"), F.col("doc_id").alias("class_id"))
     return named.union(alone)
 
 
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """`docs` without the rows that another document of their class stands for; rows without doc_id stay."""
+    held = unused(docs, "text_key")
+    keyed = docs.withColumn(held, F.xxhash64("text"))
+    named = classes(docs, similarity)
+    dropped = cut(named.where("class_id <> doc_id").select("doc_id", F.col("text_key").alias(held)).distinct())
+    kept = by_ids(keyed, dropped, ["doc_id", held], "left_anti")
+    # Of rows that repeat a document one stays; only such rows are shuffled whole.
+    again = cut(keyed.where("doc_id IS NOT NULL").groupBy("doc_id", held).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    if not again.isEmpty():
+        once = by_ids(kept, again, ["doc_id", held], "left_semi").dropDuplicates(["doc_id", held])
+        kept = by_ids(kept, again, ["doc_id", held], "left_anti").union(once)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: the class of near copies it belongs to."""
-    return classes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return classes(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")

@@ -29,7 +29,7 @@ from tessera.llm.runtime import read, row_wise, unit_hash
 
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
-PER_GRADE = 5000
+PER_GRADE = 4000
 #: Features in fewer sampled rows, or whose score statistic is smaller, in standard deviations, are left out.
 MIN_Z = 5.0
 MIN_ROWS = 5
@@ -145,13 +145,12 @@ def train(docs: DataFrame, grades: DataFrame, text: str = "text", per_grade: int
                 doc, bins = features(chunk)
                 parts = np.split(bins, np.searchsorted(doc, np.arange(1, chunk.rows)))
                 at = slice(chunk.first, chunk.first + chunk.rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at], batch.column("grade")[at], pa.array(parts, pa.list_(pa.int32()))], ["doc_id", "grade", "bins"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at], batch.column("grade")[at], pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "grade", "bins"])
 
-    table = rows.mapInArrow(run, "doc_id long, grade int, bins array<int>").toArrow().to_pydict()
+    table = rows.mapInArrow(run, "doc_id long, grade int, bins binary").toArrow().to_pydict()
     found: dict[bytes, tuple] = {}  # copies of one text teach once
     for doc_id, grade, bins in sorted(zip(table["doc_id"], table["grade"], table["bins"], strict=True)):
-        held = np.array(bins, dtype=np.int32)
-        found.setdefault(held.tobytes(), (grade, held))
+        found.setdefault(bins, (grade, np.frombuffer(bins, dtype=np.int32)))
     got = np.array([grade for grade, _ in found.values()], dtype=np.int64)
     seen = np.bincount(got, minlength=max(counts) + 1)
     weight = np.array([counts[g] / seen[g] for g in got], dtype=np.float64)

@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import op1_license, op3_quality, op4_tokens, op5_language, op6_neardup, op7_decontaminate, op9_toxicity, op10_mixing
+from tessera.llm import op1_license, op2_urls, op3_quality, op4_tokens, op5_language, op6_neardup, op7_decontaminate, op8_lm, op9_toxicity, op10_mixing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": op1_license.op1_license_scan,
+        "op2_url_filter": op2_urls.op2_url_filter,
         "op3_quality_rules": op3_quality.op3_quality_rules,
         "op4_token_counts": op4_tokens.op4_token_counts,
         "op5_language": op5_language.op5_language,
         "op6_near_duplicates": op6_neardup.op6_near_duplicates,
         "op7_decontaminate": op7_decontaminate.op7_decontaminate,
+        "op8_lm_score": op8_lm.op8_lm_score,
         "op9_toxicity": op9_toxicity.op9_toxicity,
         "op10_mixing": op10_mixing.op10_mixing,
     }

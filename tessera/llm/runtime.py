@@ -72,6 +72,22 @@ def unit_hash(*columns: str) -> Column:
 BROADCAST_IDS = 2_000_000
 
 
-def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+def by_ids(rows: DataFrame, ids: DataFrame, key: str | list[str], how: str) -> DataFrame:
     """Semi or anti join of wide rows with a written list of ids: broadcast only where its counted size is in bounds."""
     return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge"), key, how)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column of `df` begins with it."""
+    while any(c.lower().startswith(name.lower()) for c in df.columns):
+        name += "_"
+    return name
+
+
+def kept_only(df: DataFrame, decision: Column) -> DataFrame:
+    """Rows for which an expensive decision holds.
+
+    The always-true draw keeps the optimiser from copying the decision's whole computation below
+    the projections that make its columns.
+    """
+    return df.where(F.when(F.rand(0) >= 0, decision))
