@@ -18,7 +18,7 @@ each of their buckets.
 Check. Candidate pairs are verified on their shingle sets (32-bit ids). Verified links go to
 alternating large-star and small-star rounds; classes, links and fingerprints stay in Spark.
 
-A pair at similarity 0.8 shares a bucket with probability 1 - (1 - 0.8^5)^30 > 0.99999.
+A pair at similarity 0.8 shares a bucket with probability 1 - (1 - 0.8^8)^50 = 0.9999.
 
 Edge cases: equal texts are one class however short or empty; null texts are each a class of their own;
 texts of one to four words have all their words as one shingle; texts that fold to no words link only
@@ -42,8 +42,8 @@ from tessera.llm.runtime import by_ids, cut, read, unit_hash, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 30
-ROWS = 5
+BANDS = 50
+ROWS = 8
 K = BANDS * ROWS
 #: The rank axis: [0, 2^-FINE), then [2^m, 2^(m+1)) for m from -FINE on.
 FINE = 4
@@ -214,20 +214,28 @@ def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     sets = cut(shingle_sets(by_ids(docs.where("text IS NOT NULL"), degree.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
 
     tested: list[DataFrame] = []
-    rest, slots = members, 1
+    # `near_first`: how near a member is to its bucket's first leader. Two members whose distances to one
+    # text differ by more than 1 - similarity are no link, by the triangle inequality.
+    rest, slots = members.withColumn("near_first", F.lit(None).cast("double")), 1
     while True:
         slot = F.pmod(F.xxhash64("key", "rep"), F.lit(slots))
-        leaders = rest.groupBy("key", slot.alias("slot")).agg(F.max_by("rep", "degree").alias("leader"))
-        led = rest.join(leaders, "key").select("key", "rep", "degree", "leader", F.greatest("rep", "leader").alias("u"), F.least("rep", "leader").alias("v"))
+        leaders = rest.groupBy("key", slot.alias("slot")).agg(F.max_by(F.struct("rep", "near_first"), "degree").alias("head"))
+        leaders = leaders.select(F.col("key").alias("k"), F.col("head.rep").alias("leader"), F.col("head.near_first").alias("near_head"))
+        apart = F.abs(F.col("near_first") - F.col("near_head")) > 1 - similarity
+        led = rest.join(leaders, (F.col("key") == F.col("k")) & ~F.coalesce(apart, F.lit(False)))
+        led = cut(led.select("key", "rep", "degree", "near_first", F.greatest("rep", "leader").alias("u"), F.least("rep", "leader").alias("v")))
         pairs = led.where("u > v").select("u", "v").distinct()
-        for known in tested:
-            pairs = pairs.join(known, ["u", "v"], "left_anti")
+        if tested:
+            pairs = pairs.join(reduce(DataFrame.union, tested), ["u", "v"], "left_anti")
         tested.append(cut(verified(pairs, sets)))
-        near = reduce(DataFrame.union, tested).where(F.col("similarity") >= similarity).select("u", "v", F.lit(True).alias("near"))
-        # Done in this bucket: its leaders, whom all have met, and who is near one of them.
-        done = led.join(near, ["u", "v"], "left").groupBy("key", "rep", "degree").agg(F.max((F.col("u") == F.col("v")) | F.col("near").isNotNull()).alias("done"))
-        left = done.where(~F.col("done")).drop("done")
-        rest = cut(left)
+        # Done in this bucket: its leaders, whom all near enough have met, and who is near one of them.
+        met = led.join(reduce(DataFrame.union, tested), ["u", "v"], "left")
+        done = met.groupBy("key", "rep", "degree").agg(
+            F.max((F.col("u") == F.col("v")) | F.coalesce(F.col("similarity") >= similarity, F.lit(False))).alias("done"),
+            F.coalesce(F.max("near_first"), F.max("similarity")).alias("near_first"),
+        )
+        known = rest.select("key", "rep", "degree", "near_first").join(done.select("key", "rep", "done", F.col("near_first").alias("now")), ["key", "rep"], "left") if slots > 1 else done.withColumn("now", F.col("near_first"))
+        rest = cut(known.where(~F.coalesce("done", F.lit(False))).select("key", "rep", "degree", F.coalesce("now", "near_first").alias("near_first")))
         if rest.isEmpty():
             break
         slots *= 2
