@@ -85,9 +85,10 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def kept_only(df: DataFrame, decision: Column) -> DataFrame:
-    """Rows for which an expensive decision holds.
+    """Rows for which an expensive decision holds, with a column of its own.
 
-    The always-true draw keeps the optimiser from copying the decision's whole computation below
-    the projections that make its columns.
+    The always-true comparison with a row number counts as non-deterministic: the optimiser then doesn't
+    copy the decision's whole computation into a filter below the projections that make its columns.
     """
-    return df.where(F.when(F.rand(0) >= 0, decision))
+    name = unused(df, "kept_only")
+    return df.withColumn(name, F.when(F.monotonically_increasing_id() >= 0, decision)).where(F.col(name)).drop(name)
