@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.distance import check_metric, distance
@@ -88,7 +88,7 @@ def full_text_search(table: Table, query: str, *, column: str | None = None, col
     ranked = scored.groupBy(ROW_ID).agg(F.sum("part").alias("_score"), F.count(F.lit(1)).alias("_n"), lists.alias("_at"))
     if phrase:
         order = _query_tokens(query)
-        starts = reduce(F.array_intersect, [F.transform(F.coalesce(F.col("_at")[t], F.array().cast("array<int>")), lambda p, k=k: p - k) for k, t in enumerate(order)])
+        starts = reduce(F.array_intersect, [_moved(F.coalesce(F.col("_at")[t], F.array().cast("array<int>")), k) for k, t in enumerate(order)])
         ranked = ranked.where(F.size(starts) > 0)
     elif operator == "and":
         ranked = ranked.where(F.col("_n") == len(wanted))
@@ -100,6 +100,10 @@ def full_text_search(table: Table, query: str, *, column: str | None = None, col
     return fetch(table, ranked.orderBy(F.desc("_score"), ROW_ID).limit(limit), limit, names, ["_score"]).orderBy(F.desc("_score"), ROW_ID).drop(ROW_ID)
 
 
+def _moved(places: Column, k: int) -> Column:
+    return F.transform(places, lambda p: p - k)
+
+
 def fetch(table: Table, best: DataFrame, rows: int, names: list[str], extra: list[str]) -> DataFrame:
     """The columns of a few rows by `_rowid`, read from their fragments only; `best` has at most `rows` rows."""
     got = best.collect()
