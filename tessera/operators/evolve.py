@@ -94,16 +94,17 @@ def add_columns(
         rows = reader._with_row_ids(spark, location, made.schema, list(made.fragments))
         rows = rows.withColumns({"_fragment": F.shiftright(reader.ROW_ID, 32), "_index": F.col(reader.ROW_ID).bitwiseAND(0xFFFFFFFF)}).drop(reader.ROW_ID)
         if isinstance(transform, dict):
+            _check_new(made, list(transform))
             wide = rows.withColumns({name: F.expr(sql) for name, sql in transform.items()})
         elif isinstance(transform, DataFrame):
+            _check_new(made, [c for c in transform.columns if c not in (reader.ROW_ID, "_fragment", "_index")])
             wide = _attached(rows, transform)
         else:
             new = reader_schema or _tried(rows, transform, read_columns)
+            _check_new(made, new.names)
             types = T.StructType([*rows.schema.fields, *from_arrow_schema(new).fields])
             wide = rows.mapInArrow(_appender(transform, read_columns, new), types)
         fresh = [f for f in wide.schema.fields if f.name not in ("_fragment", "_index")]
-        if clash := [f.name for f in fresh[len(made.schema.fields) :] if f.name in made.schema.names]:
-            raise ValueError(f"columns {clash} exist already")
         # No shuffle: each task holds whole files, and writes each fragment's rows in order to a folder of its own.
         ordered = wide.sortWithinPartitions("_fragment", "_index").select("_fragment", *(F.col(f"`{f.name}`") for f in fresh))
         ordered.write.partitionBy("_fragment").parquet(f"{location}/{folder}")
@@ -121,6 +122,11 @@ def add_columns(
     return manifest.commit(spark, location, "Merge", lambda head: manifest.replaced(head, before, after).with_schema(schema))
 
 
+def _check_new(made: manifest.Manifest, names: list[str]) -> None:
+    if clash := [n for n in names if n in made.schema.names]:
+        raise ValueError(f"columns {clash} exist already")
+
+
 def _tried(rows: DataFrame, transform: Callable, read_columns: list[str] | None) -> pa.Schema:
     """The new columns' schema, from a first batch of one row."""
     data = rows.drop("_fragment", "_index")
