@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import Chunk, chunks
-from tessera.llm.runtime import read, row_wise, unit_hash
+from tessera.llm.runtime import arrow_map, read, row_wise, unit_hash
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -165,7 +165,7 @@ def training_windows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple
                 langs = batch.column("lang").take(pa.array(doc[use] + chunk.first))
                 yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), langs], ["bytes", "lang"])
 
-    found = sample.mapInArrow(run, "bytes binary, lang string").toArrow().to_pydict()
+    found = arrow_map(sample, run, "bytes binary, lang string").toArrow().to_pydict()
     pairs = sorted(zip(found["lang"], found["bytes"], strict=True))
     languages = sorted({lang for lang, _ in pairs})
     data = np.frombuffer(b"".join(b for _, b in pairs), dtype=np.uint8).reshape(-1, WINDOW).T

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import ALNUM, Chunk, chunks, mix
-from tessera.llm.runtime import by_ids, cut, read, unit_hash, unused
+from tessera.llm.runtime import arrow_map, by_ids, cut, read, unit_hash, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -161,7 +161,7 @@ def signed(docs: DataFrame, weighting: str = "binary") -> DataFrame:
                 at = slice(chunk.first, chunk.first + chunk.rows)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c)[at] for c in ("doc_id", "a", "b")), lists], ["doc_id", "a", "b", "keys"])
 
-    return keyed.mapInArrow(run, "doc_id long, a long, b long, keys array<long>")
+    return arrow_map(keyed, run, "doc_id long, a long, b long, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -175,7 +175,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 small = (ids & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[chunk.first : chunk.first + chunk.rows], pa.ListArray.from_arrays(pa.array(bounds), pa.array(small))], ["doc_id", "set"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set array<int>")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, set array<int>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

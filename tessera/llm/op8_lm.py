@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import ALNUM, Chunk, chunks, mix
-from tessera.llm.runtime import read, row_wise
+from tessera.llm.runtime import arrow_map, read, row_wise
 
 BITS = 16
 TOP = 32
@@ -172,7 +172,7 @@ def counts(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bin", "n"])
 
-    found = docs.select("text").mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    found = arrow_map(docs.select("text"), run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << BITS, dtype=np.int64)
     out[found["bin"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -206,7 +206,7 @@ def trained(docs: DataFrame, lexicon: Lexicon, start: Network) -> Network:
             flat = network.flat()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen))], ["place", "value", "weight"])
 
-    sums = docs.select("text").mapInArrow(run, "place int, value double, weight long").groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
+    sums = arrow_map(docs.select("text"), run, "place int, value double, weight long").groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
     if not sums.num_rows:
         return start
     flat = np.zeros(len(start.flat()), dtype=np.float32)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import ALNUM, Chunk, chunks
-from tessera.llm.runtime import read, row_wise, unit_hash
+from tessera.llm.runtime import arrow_map, read, row_wise, unit_hash
 
 BITS = 18
 PREFIXES = (3, 4, 5, 6)
@@ -147,7 +147,7 @@ def train(docs: DataFrame, grades: DataFrame, text: str = "text", per_grade: int
                 at = slice(chunk.first, chunk.first + chunk.rows)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[at], batch.column("grade")[at], pa.array([p.tobytes() for p in parts], pa.binary())], ["doc_id", "grade", "bins"])
 
-    table = rows.mapInArrow(run, "doc_id long, grade int, bins binary").toArrow().to_pydict()
+    table = arrow_map(rows, run, "doc_id long, grade int, bins binary").toArrow().to_pydict()
     found: dict[bytes, tuple] = {}  # copies of one text teach once
     for doc_id, grade, bins in sorted(zip(table["doc_id"], table["grade"], table["bins"], strict=True)):
         found.setdefault(bins, (grade, np.frombuffer(bins, dtype=np.int32)))

@@ -54,12 +54,30 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch at most: with long texts, Spark's default of 10,000 rows is hundreds of MB in each Python worker.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS; a smaller one stays."""
+    if not 0 < int(spark.conf.get(_BATCH_KEY)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+
+
+def arrow_map(df: DataFrame, run: Callable, ddl: str) -> DataFrame:
+    """mapInArrow over small batches."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, ddl)
+
+
 def row_wise(run: Callable, ddl: str) -> Callable:
     """A column function from an iterator over Arrow arrays; state is built once for each task.
 
     It counts as non-deterministic, so that a filter on its result is not pushed below it and
     does not run it twice.
     """
+    small_batches(SparkSession.active())
     return F.arrow_udf(run, ddl, F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
 
 

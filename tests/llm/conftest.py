@@ -5,23 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
-
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, q_n_words string, toxicity string, leaks int, text_key string"
-SYLLABLES = {"en": ["the", "ing", "ter", "wh", "ou", "and", "ly"], "de": ["sch", "ung", "ein", "ü", "keit", "ber", "ä"], "fr": ["eau", "é", "oi", "que", "ê", "leu", "ç"]}
-
-
-def prose(rng: random.Random, lang: str, words: int) -> str:
-    out = ["".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randint(1, 4))) for _ in range(words)]
-    return " ".join(w + ("." if i % 9 == 8 else "") for i, w in enumerate(out))
-
-
-def odd_rows() -> list[tuple]:
-    base = [
-        (None, None, None, None, None), (1, None, "en", "a", 0), (2, "", "en", "a", 0), (3, " \t\n", None, "b", 3), (4, "word", "en", None, 4), (4, "word", "en", None, 4),
-        (5, "word " * 30_000, "en", "a", None), (6, "x" * 200_000, "de", "", 1), (7, "\x00\x7f # ! | 12", "fr", "b", 2), (8, "ünïcödé 😀 …", "de", "\U0001f600", 2), (None, "no id here at all", "en", "a", 1),
-    ]
-    return [(*r, "clash", "clash", 7, "clash") for r in base]
-
+from samples import SCHEMA, SYLLABLES, odd_rows, prose
 
 @pytest.fixture(scope="session")
 def odd(spark):
@@ -50,6 +34,3 @@ def corpus(spark):
             labels.append((i, int(i % 7 > 0), int(toxic)))
     return spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
-
-def same_columns(df, docs):
-    return df.columns == docs.columns

@@ -6,8 +6,8 @@ import random
 
 import numpy as np
 import pytest
-from conftest import prose  # the llm folder's
 from pyspark.sql import functions as F
+from samples import prose
 
 import corpus_pipeline
 from tessera.llm import op6_neardup, op7_decontaminate, op10_mixing
