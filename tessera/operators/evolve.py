@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def _appender(transform: Callable, read_columns: list[str] | None, new: pa.Schem
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data = batch.drop_columns(["_fragment", "_index"])
-            got = transform(data.select(read_columns) if read_columns else data)
+            got = _as_table(transform(data.select(read_columns) if read_columns else data))
             if got.num_rows != batch.num_rows:
                 raise ValueError(f"the transform returned {got.num_rows} rows for {batch.num_rows}")
             if set(got.schema.names) != set(new.names):
@@ -61,7 +62,7 @@ def add_columns(
     spark: SparkSession,
     uri: str | None = None,
     *,
-    transform: dict[str, str] | Callable[[pa.RecordBatch], pa.RecordBatch] | DataFrame,
+    transform: dict[str, str] | Callable[[pa.RecordBatch], pa.RecordBatch] | DataFrame | pa.Table | pa.RecordBatchReader,
     filter: str | None = None,  # noqa: A002
     read_columns: list[str] | None = None,
     reader_schema: pa.Schema | None = None,
@@ -76,7 +77,8 @@ def add_columns(
     """Add columns and commit.
 
     `transform` is a dict of new column to SQL expression, a function from an Arrow batch to a batch of the new
-    columns only, or a DataFrame keyed by `_rowid`. A function's column types come from
+    columns only, a DataFrame keyed by `_rowid`, or an Arrow table or reader with one row for each of the table's
+    rows in fragment order (held by the driver: for small columns). A function's column types come from
     `reader_schema`, or from a first run on one row of the table. `filter` isn't supported.
     """
     if filter is not None:
@@ -86,6 +88,8 @@ def add_columns(
     made = manifest.load(spark, location, read_version)
     if not made.fragments:
         raise ValueError("No schema for new fragment found")
+    if isinstance(transform, (pa.Table, pa.RecordBatchReader)):
+        transform = _by_place(spark, made, transform)
     biggest = max((f.bytes or 0) for f in made.fragments)
     one_file = str(max(biggest, 128 << 20))
     before = {f.id: f for f in made.fragments}
@@ -131,7 +135,21 @@ def _tried(rows: DataFrame, transform: Callable, read_columns: list[str] | None)
     """The new columns' schema, from a first batch of one row."""
     data = rows.drop("_fragment", "_index")
     table = data.select(*read_columns).limit(1).toArrow() if read_columns else data.limit(1).toArrow()
-    got = transform(table.cast(to_arrow_schema((data.select(*read_columns) if read_columns else data).schema)).combine_chunks().to_batches()[0])
+    got = _as_table(transform(table.cast(to_arrow_schema((data.select(*read_columns) if read_columns else data).schema)).combine_chunks().to_batches()[0]))
     return got.schema
 
 
+def _as_table(made: object) -> pa.Table | pa.RecordBatch:
+    """What a transform returned: an Arrow batch or table, or a pandas frame."""
+    return made if isinstance(made, (pa.Table, pa.RecordBatch)) else pa.Table.from_pandas(made, preserve_index=False).replace_schema_metadata(None)
+
+
+def _by_place(spark: SparkSession, made: manifest.Manifest, source: pa.Table | pa.RecordBatchReader) -> DataFrame:
+    """Rows held by the driver, one for each row of the table's files in fragment order, keyed by `_rowid`."""
+    held = source.read_all() if isinstance(source, pa.RecordBatchReader) else source
+    if held.num_rows != sum(f.rows for f in made.fragments):
+        raise ValueError(f"the reader has {held.num_rows} rows for {sum(f.rows for f in made.fragments)}")
+    ids = np.concatenate([(f.id << 32) + np.arange(f.rows, dtype=np.int64) for f in made.fragments])
+    return spark.createDataFrame(held.append_column(reader.ROW_ID, pa.array(ids)))
+
+

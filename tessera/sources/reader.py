@@ -93,7 +93,8 @@ def read_table(
 
     `columns` and `filter` override their namesakes in `scanner_options`, which also takes with_row_id,
     and batch_size (an upper bound is Spark's own columnar batch). `dataset_options["version"]` reads an
-    older version. An index on a filtered column is used to leave fragments out. Storage credentials
+    older version. `scanner_options["full_text_query"]` (a string, or a dict with query and columns) and
+    `scanner_options["nearest"]` (a dict with column, q, k and the options of `nearest`) search instead. An index on a filtered column is used to leave fragments out. Storage credentials
     belong to the session's Hadoop settings; `storage_options` are set there. `override_num_blocks`
     coalesces the scan to at most so many partitions; `concurrency` is the scheduler's matter.
     """
@@ -105,6 +106,8 @@ def read_table(
     columns = options.get("columns") if columns is None else columns
     predicate = options.get("filter") if filter is None else filter
     made = manifest.load(spark, location, (dataset_options or {}).get("version"))
+    if options.get("nearest") or options.get("full_text_query"):
+        return _searched(spark, location, made.version, columns, predicate, options)
     fragments = chosen(made, fragment_ids)
     if predicate is not None:
         fragments = fragments_for(spark, location, made, fragments, predicate)
@@ -117,6 +120,24 @@ def read_table(
     return df.coalesce(override_num_blocks) if override_num_blocks else df
 
 
+def _searched(spark: SparkSession, uri: str, version: int, columns: list[str] | None, predicate: str | None, options: dict) -> DataFrame:
+    """The rows of a search given as scanner options, without its score."""
+    from tessera.operators import search
+    from tessera.table import Table
+
+    table = Table(spark, uri, version=version)
+    if options.get("nearest"):
+        wanted = dict(options["nearest"])
+        found = search.nearest(table, wanted.pop("column"), list(wanted.pop("q")), wanted.pop("k", 10), columns=columns, filter=predicate, **wanted)
+        return found.drop("_distance")
+    query = options["full_text_query"]
+    query = {"query": query} if isinstance(query, str) else query
+    column = next(iter(query.get("columns") or []), None)
+    found = search.full_text_search(table, query["query"], column=column, phrase=bool(query.get("phrase")), operator=query.get("operator", "or")).drop("_score")
+    found = found.where(predicate) if predicate else found
+    return found.select(*(F.col(f"`{c}`") for c in columns)) if columns else found
+
+
 def set_storage(spark: SparkSession, options: dict[str, str] | None) -> None:
     """Hand storage options (fs.* keys) to the session's file systems."""
     for key, value in (options or {}).items():

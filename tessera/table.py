@@ -54,6 +54,13 @@ class Table:
             return sum(f.live_rows for f in self.manifest.fragments)
         return self.to_df(filter=filter).count()
 
+    def __len__(self) -> int:
+        return self.count_rows()
+
+    def create_view(self, name: str) -> None:
+        """Make this version's rows known to SQL under a name of the session."""
+        self.to_df().createOrReplaceTempView(name)
+
     def estimated_bytes(self) -> int:
         """Bytes of the fragments' files as far as known."""
         return sum(f.bytes or 0 for f in self.manifest.fragments)

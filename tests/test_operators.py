@@ -31,6 +31,11 @@ def test_add_columns(spark, tmp_path):
     assert got.columns == ["id", "text", "score", "twice", "next", "place"]
     assert got.count() == 59
     assert got.where("twice <> score * 2 OR next <> id + 1 OR place <> id OR next IS NULL OR place IS NULL").count() == 0
+    t.add_columns(spark, uri, transform=pa.table({"held": list(range(60))}))
+    t.add_columns(spark, uri, transform=lambda b: b.to_pandas()[["held"]].rename(columns={"held": "kept"}), read_columns=["held"])
+    assert t.read_table(spark, uri).where("held <> id OR kept <> id OR kept IS NULL").count() == 0
+    with pytest.raises(ValueError, match="rows for 60"):
+        t.add_columns(spark, uri, transform=pa.table({"z": [1]}))
     with pytest.raises(NotImplementedError):
         t.add_columns(spark, uri, transform={"x": "1"}, filter="id > 1")
     with pytest.raises(ValueError, match="exist already"):
@@ -121,6 +126,7 @@ def test_full_text(spark, tmp_path, covered):
     assert find("is python", phrase=True) == [5] and find("python is fun python", phrase=True) == [1]
     top = t.full_text_search(table, "python", limit=1, columns=["id"]).collect()
     assert top[0].id == 1 and top[0]["_score"] > 0
+    assert t.read_table(spark, uri, columns=["id"], filter="id > 1", scanner_options={"full_text_query": "fun"}).collect() == [(5,)]
     table.delete("id = 5")
     assert find("fun") == [1]
     plain = t.create_scalar_index(spark, uri, column="text", index_type="INVERTED", remove_stop_words=True)
@@ -147,6 +153,8 @@ def test_vectors(spark, tmp_path, cloud, kind, metric):
     got = [r.id for r in t.nearest(table, "vector", q.tolist(), 5, nprobes=4, refine_factor=20).collect()]
     assert got == exact
     assert len(t.nearest(table, "vector", q.tolist(), 5, nprobes=1).collect()) == 5
+    found = t.read_table(spark, uri, columns=["id"], scanner_options={"nearest": {"column": "vector", "q": q, "k": 5, "use_index": False, "metric": metric}})
+    assert [r.id for r in found.collect()] == exact and len(table) == 400
     table.delete(f"id = {exact[0]}")
     assert [r.id for r in t.nearest(table, "vector", q.tolist(), 4, nprobes=4, refine_factor=20).collect()] == exact[1:]
 
@@ -161,6 +169,12 @@ def test_vector_checks(spark, tmp_path):
         t.create_index(spark, uri, "vector", "IVF_FLAT", metric="manhattan")
 
 
+def test_view(spark, tmp_path):
+    table(spark, str(tmp_path / "a"))
+    t.Table(spark, str(tmp_path / "a")).create_view("made")
+    assert spark.sql("SELECT count(*) AS n FROM made WHERE id < 10").first().n == 10
+
+
 def test_stream(spark, tmp_path):
     (spark.range(10)).write.parquet(str(tmp_path / "in"))
     stream = lambda: append_stream(spark.readStream.schema("id long").parquet(str(tmp_path / "in")), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
