@@ -1,8 +1,8 @@
 """Vectorised word scanning over the raw buffers of Arrow string arrays.
 
 Every operator that needs words at corpus scale works on the UTF-8 bytes of a chunk of texts at
-once: no Python string is made per document or per word. Chunks are bounded by bytes, so memory
-follows CHUNK_BYTES (or the longest single text), never the batch.
+once: no Python string is made per document or per word. Chunks are bounded by bytes and rows, so
+memory follows these bounds (or the longest single text), never the batch.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 19
+CHUNK_ROWS = 1 << 12
 
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
@@ -83,8 +84,8 @@ class Chunk:
         return Words.of(self, table)
 
 
-def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
-    """Cut an Arrow string array into runs of whole texts of about `limit` bytes; null counts as empty."""
+def chunks(texts: pa.Array, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[Chunk]:
+    """Cut an Arrow string array into runs of whole texts, `rows` at most, of about `limit` bytes; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if not len(texts):
@@ -97,7 +98,7 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     row = 0
     while row < len(texts):
         end = int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1
-        end = min(max(end, row + 1), len(texts))
+        end = min(max(end, row + 1), len(texts), row + rows)
         yield Chunk(row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row])
         row = end
 

@@ -38,6 +38,8 @@ BATCH = 96
 SEED = 42
 #: Bytes of text folded at once in prediction; the lookups of a chunk then stay in a core's cache.
 CHUNK = 1 << 17
+#: Every text has a padded window at least, so their number is bounded too.
+CHUNK_TEXTS = 512
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -154,7 +156,7 @@ def training_windows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            for chunk in chunks(batch.column("text"), CHUNK):
+            for chunk in chunks(batch.column("text"), CHUNK, CHUNK_TEXTS):
                 data, doc, _ = windows(chunk)
                 total = np.bincount(doc, minlength=chunk.rows)
                 nth = np.arange(len(doc)) - np.repeat(np.cumsum(total) - total, total)
@@ -188,7 +190,7 @@ def predicted(text: Column, network: Network | None) -> Column:
         names = np.array([*network.languages, "und"], dtype=object)
         for texts in batches:
             best, score = np.full(len(texts), len(network.languages)), np.zeros(len(texts))
-            for chunk in chunks(texts, CHUNK):
+            for chunk in chunks(texts, CHUNK, CHUNK_TEXTS):
                 total = np.zeros((chunk.rows, len(network.languages)))
                 mean = np.zeros_like(total)
                 data, doc, share = windows(chunk)

@@ -45,6 +45,8 @@ SIMILARITY = 0.8
 BANDS = 50
 ROWS = 8
 K = BANDS * ROWS
+#: Texts whose darts are held together.
+TEXTS_AT_ONCE = 64
 #: The rank axis: [0, 2^-FINE), then [2^m, 2^(m+1)) for m from -FINE on.
 FINE = 4
 ID_BITS = 44
@@ -151,7 +153,8 @@ def signed(docs: DataFrame, weighting: str = "binary") -> DataFrame:
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
-            for chunk in chunks(batch.column("text")):
+            # Short and long texts throw as many darts: their number bounds the memory.
+            for chunk in chunks(batch.column("text"), rows=TEXTS_AT_ONCE):
                 doc, ids, places = shingles(chunk)
                 weights = np.ones(len(ids)) if weighting == "binary" else places.astype(np.float64)
                 keys = bands(signatures(doc, ids, weights, chunk.rows)).view(np.int64)
