@@ -136,3 +136,49 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per page: host, path, the rule that fits, and the verdict."""
     judged = judge(read(spark, sf_dir, "pages").select("page_id", "url"))
     return judged.select("page_id", *(F.col(f"url_{n}").alias(n) for n in ("host", "path", "rule", "verdict", "template", "purity")))
+
+
+def oracle(rules: list[tuple[str, str, str]] | None = None) -> str:
+    """The query in DuckDB's SQL; the levels of the tree are one step of common tables each."""
+    ordered = sorted(RULES if rules is None else rules, key=lambda r: -len(r[0] + r[1]))
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in ordered]
+    rule = " ".join(f"WHEN {test} THEN '{name}'" for test, name, _ in fits)
+    verdict = " ".join(f"WHEN {test} THEN '{v}'" for test, _, v in fits)
+    steps = []
+    for k in range(DEPTH + 2):
+        steps.append(f"""
+placed{k} AS (SELECT *, array_to_string(template, '/') AS node, rest[{k + 1}] AS segment FROM tree{k}),
+kids{k} AS (SELECT host, node, segment, sum(n) AS kid FROM placed{k} WHERE segment IS NOT NULL GROUP BY ALL),
+wild{k} AS (SELECT host, node, segment, kid < {SHARE} * sum(kid) OVER w AND count(*) OVER w > {FANOUT} AS wild FROM kids{k} WINDOW w AS (PARTITION BY host, node)),
+tree{k + 1} AS (SELECT p.* EXCLUDE (node, segment, template), CASE WHEN p.segment IS NULL THEN template ELSE list_append(template, CASE WHEN wild THEN '*' ELSE p.segment END) END AS template
+  FROM placed{k} AS p LEFT JOIN wild{k} AS q ON p.host = q.host AND p.node = q.node AND p.segment = q.segment)""")
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    return f"""
+WITH split AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '{_SPLIT}', 1), '{upper}', '{lower}') AS host, regexp_extract(coalesce(url, ''), '{_SPLIT}', 2) AS path FROM pages
+), parts AS (
+  SELECT *, string_split(path, '/') AS s FROM split
+), ruled AS (
+  SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} END AS said,
+         array_to_string(list_transform(CASE WHEN len(s) > {DEPTH + 2} THEN list_append(s[1:{DEPTH + 1}], array_to_string(s[{DEPTH + 2}:], '/')) ELSE s END,
+           lambda x: CASE WHEN regexp_matches(x, '^[0-9a-fA-F-]{{8,}}$') AND regexp_matches(x, '[0-9]') AND regexp_matches(x, '[a-fA-F-]') THEN '<x>' ELSE regexp_replace(x, '[0-9]+', '<n>', 'g') END), '/') AS skeleton
+  FROM parts
+), tree0 AS (
+  SELECT host, skeleton, count(*) AS n, count(*) FILTER (said = 'block') AS blocked, count(said) AS labelled, string_split(skeleton, '/') AS rest, []::VARCHAR[] AS template FROM ruled GROUP BY host, skeleton
+),{",".join(steps)},
+branch AS (SELECT host, skeleton, blocked, labelled, template, template[2] AS segment, array_to_string(template[3:], '/') AS below FROM tree{DEPTH + 2}),
+sums AS (SELECT host, below, segment, sum(blocked) AS b, sum(labelled) AS l FROM branch GROUP BY ALL HAVING sum(labelled) >= {MIN_LABELS}),
+pools AS (SELECT *, sum(b) OVER w / sum(l) OVER w AS p, count(*) OVER w AS siblings FROM sums WINDOW w AS (PARTITION BY host, below)),
+same AS (SELECT host, below, segment FROM pools WHERE siblings > 1 AND abs(b - l * p) <= {Z} * sqrt(l * p * (1 - p)) + 0.5),
+named AS (
+  SELECT branch.host, skeleton, blocked, labelled, array_to_string(CASE WHEN same.host IS NULL THEN template ELSE list_concat([template[1], '*'], template[3:]) END, '/') AS template
+  FROM branch LEFT JOIN same ON branch.host = same.host AND branch.below = same.below AND branch.segment = same.segment
+), overall AS (
+  SELECT CASE WHEN sum(labelled) > 0 THEN sum(blocked) / sum(labelled) ELSE 0.0 END AS rate FROM named
+), judged AS (
+  SELECT host, skeleton, template, sum(labelled) OVER w AS labels, (sum(blocked) OVER w + {STRENGTH} * rate) / (sum(labelled) OVER w + {STRENGTH}) AS purity
+  FROM named, overall WINDOW w AS (PARTITION BY host, template)
+)
+SELECT page_id, ruled.host, path, rule, coalesce(said, CASE WHEN labels > 0 AND purity >= {PURITY} THEN 'block' ELSE 'allow' END) AS verdict, template, purity
+FROM ruled JOIN judged ON ruled.host = judged.host AND ruled.skeleton = judged.skeleton
+"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": op3_quality.ORACLE, "op10_mixing": op10_mixing.ORACLE}
+    return {"op2_url_filter": op2_urls.oracle(), "op3_quality_rules": op3_quality.ORACLE, "op10_mixing": op10_mixing.ORACLE}

@@ -244,3 +244,23 @@ def test_lm_prefers_the_corpus(spark, corpus):
     mixed = known.withColumn("text", F.array_join(F.shuffle(F.split("text", "")), ""))
     mean = lambda df: op8_lm.score(df, model).agg(F.sum("lm.log_likelihood") / F.sum("lm.n_tokens")).first()[0]
     assert mean(known) > mean(mixed)
+
+
+def test_url_query_against_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(12)
+    segments = ["en", "de", "es", "about", "x", "", "7", "8", "42.html", "deadbeef01", "2024-01-02", *(f"{a}{b}" for a in "abcde" for b in "vwxyz")]
+    urls = [None, "none"]
+    for _ in range(1500):
+        host = rng.choice(["A.com", "a.com", "b.example.com", "example.net", "c.org", "d.e"])
+        urls.append(f"https://{host}" + "".join("/" + rng.choice(segments) for _ in range(rng.choice([0, 1, 2, 2, 3, 3, 9]))) + rng.choice(["", "?q=/en/", "#z", "/"]))
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = op2_urls.op2_url_filter(spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.sql(op2_urls.oracle())
+    assert want.columns == list(got[0].asDict())
+    close = lambda rows: sorted((*r[:6], round(r[6], 9)) for r in ((x[0], *(v or "" for v in x[1:6]), x[6]) for x in rows))
+    assert close(map(tuple, got)) == close(want.fetchall())
+    assert any("*" in r.template for r in got) and {r.verdict for r in got if r.rule is None} == {"allow", "block"}
