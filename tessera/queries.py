@@ -47,10 +47,14 @@ customers = _table("customer", _copy("customer", 1000))
 lines = _table("lineitem", _copy("lineitem", 20_000))
 
 
+#: The table of two versions gets urgent and high orders first, all others by an append.
+EARLIER = "o_orderpriority < '3'"
+
+
 def _two_versions(spark: SparkSession, d: str, uri: str) -> None:
     orders = source(spark, d, "orders")
-    t.write_table(orders.where("o_orderkey % 2 = 0"), uri, min_rows_per_file=ROWS, max_rows_per_file=ROWS)
-    t.write_table(orders.where("o_orderkey % 2 <> 0"), uri, mode="append", min_rows_per_file=ROWS, max_rows_per_file=ROWS)
+    t.write_table(orders.where(EARLIER), uri, min_rows_per_file=ROWS, max_rows_per_file=ROWS)
+    t.write_table(orders.where(f"NOT coalesce({EARLIER}, false)"), uri, mode="append", min_rows_per_file=ROWS, max_rows_per_file=ROWS)
 
 
 two = _table("two versions", _two_versions)
@@ -202,7 +206,7 @@ def _first_fragments(s: SparkSession, d: str) -> DataFrame:
     return t.read_table(s, two(s, d), fragment_ids=ids)
 
 
-_query("scan_fragment_subset", _first_fragments, f"SELECT {ORDERS} FROM orders WHERE o_orderkey % 2 = 0")
+_query("scan_fragment_subset", _first_fragments, f"SELECT {ORDERS} FROM orders WHERE {EARLIER}")
 _query("scan_row_ids", lambda s, d: t.read_table(s, lines(s, d), columns=["l_orderkey"], scanner_options={"with_row_id": True}).agg(F.countDistinct("_rowid").alias("n")), "SELECT count(*) AS n FROM lineitem")
 _query("write_roundtrip", lambda s, d: t.read_table(s, customers(s, d)), "SELECT * FROM customer")
 
@@ -216,7 +220,7 @@ def _cast(s: SparkSession, d: str) -> DataFrame:
 _query("write_schema_cast", _cast, "SELECT c_custkey::INT AS c_custkey, c_nationkey::BIGINT AS c_nationkey, NULL::VARCHAR AS extra FROM customer")
 _query("write_overwrite", lambda s, d: t.read_table(s, overwritten(s, d)), f"SELECT {ORDERS} FROM orders WHERE o_totalprice > 200000")
 _query("write_append", lambda s, d: t.read_table(s, two(s, d)), f"SELECT {ORDERS} FROM orders")
-_query("time_travel_v1", lambda s, d: t.read_table(s, two(s, d), dataset_options={"version": 1}), f"SELECT {ORDERS} FROM orders WHERE o_orderkey % 2 = 0")
+_query("time_travel_v1", lambda s, d: t.read_table(s, two(s, d), dataset_options={"version": 1}), f"SELECT {ORDERS} FROM orders WHERE {EARLIER}")
 _query("time_travel_v2", lambda s, d: t.read_table(s, two(s, d), dataset_options={"version": 2}), f"SELECT {ORDERS} FROM orders")
 _query(
     "versions_list",
