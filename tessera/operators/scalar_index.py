@@ -41,14 +41,20 @@ def _check_type(index_type: str, column: str, kind: T.DataType) -> None:
         raise TypeError(f"Column {column} must be numeric or string type for BTREE index, got {kind.simpleString()}")
 
 
-def postings(rows: DataFrame, column: str, remove_stop_words: bool, with_position: bool) -> DataFrame:
-    """(token, _rowid, tf, positions) of rows with `_rowid`; token groups are within a row, so nothing is shuffled by token yet."""
+def postings(rows: DataFrame, column: str, remove_stop_words: bool, with_position: bool, parts: int | None = None) -> DataFrame:
+    """(token, _rowid, tf, positions) of rows with `_rowid`.
+
+    With `parts` the result is range-partitioned and sorted by (token, _rowid): the tokens are dealt that way before
+    they are grouped, which serves the grouping too, so there is one shuffle, and a frequent token is split by row.
+    """
     words = F.transform(tokens(_text(rows, column)), lambda t, i: F.struct(t.alias("token"), i.alias("place")))
     if remove_stop_words:
         words = F.filter(words, lambda w: ~w["token"].isin(STOP_WORDS))
     flat = rows.select(ROW_ID, F.explode(words).alias("w")).select(ROW_ID, "w.token", "w.place")
+    flat = flat.repartitionByRange(parts, "token", ROW_ID) if parts else flat
     places = F.sort_array(F.collect_list("place")) if with_position else F.lit(None).cast("array<int>")
-    return flat.groupBy(ROW_ID, "token").agg(F.count(F.lit(1)).cast("int").alias("tf"), places.alias("positions"))
+    found = flat.groupBy("token", ROW_ID).agg(F.count(F.lit(1)).cast("int").alias("tf"), places.alias("positions"))
+    return found.sortWithinPartitions("token", ROW_ID) if parts else found
 
 
 def lengths(rows: DataFrame, column: str, remove_stop_words: bool) -> DataFrame:
@@ -120,8 +126,7 @@ def create_scalar_index(
         pairs = rows.select((F.explode_outer(value) if isinstance(kind, T.ArrayType) else value).alias("value"), F.shiftright(ROW_ID, 32).alias("fragment_id")).distinct()
         pairs.repartitionByRange(parts, "value", "fragment_id").sortWithinPartitions("value", "fragment_id").write.parquet(folder)
     else:
-        found = postings(rows, column, remove_stop_words, with_position)
-        found.repartitionByRange(parts, "token", ROW_ID).sortWithinPartitions("token", ROW_ID).write.parquet(f"{folder}/postings")
+        postings(rows, column, remove_stop_words, with_position, parts).write.parquet(f"{folder}/postings")
         lengths(rows, column, remove_stop_words).write.parquet(f"{folder}/lengths")
         sums = spark.read.parquet(f"{folder}/lengths").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).first()
         details = {"documents": sums["n"], "words": sums["words"], "remove_stop_words": remove_stop_words, "with_position": with_position}
