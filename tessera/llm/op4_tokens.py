@@ -158,3 +158,30 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABUL
     """One row per document: words, word-piece tokens and unknown words."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return count(docs, load_pieces(vocabulary)).select("doc_id", "tokens.*")
+
+
+def oracle(vocabulary: str = VOCABULARY) -> str:
+    """The query in DuckDB's SQL: every distinct word is walked by its longest fitting piece."""
+    pieces = sorted({p for p in load_pieces(vocabulary) if p and MARK not in p[1:]})
+    longest = max(map(len, pieces))
+    listed = ", ".join("'" + p.replace("'", "''") + "'" for p in pieces)
+    return f"""
+WITH RECURSIVE vocabulary AS (
+  SELECT unnest([{listed}]) AS piece
+), d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents
+), w AS (
+  SELECT rid, '{MARK}' || unnest(words) AS word FROM d
+), walk AS (
+  SELECT DISTINCT word, 1 AS pos, 0 AS n FROM w
+  UNION ALL
+  SELECT word, pos + reach, n + 1 FROM (
+    SELECT word, pos, n, max(k) AS reach FROM walk CROSS JOIN (SELECT unnest(generate_series(1, {longest})) AS k) AS s JOIN vocabulary ON piece = substr(word, pos, k)
+    WHERE pos + k - 1 <= length(word) AND (pos = 1 OR NOT starts_with(piece, '{MARK}')) GROUP BY word, pos, n)
+), counted AS (
+  SELECT word, max(n) FILTER (pos > length(word)) AS n FROM walk GROUP BY word
+), sums AS (
+  SELECT rid, sum(coalesce(n, 1)) AS n_tokens, count(*) FILTER (n IS NULL) AS n_unknown FROM w JOIN counted USING (word) GROUP BY rid
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_tokens, 0)::BIGINT AS n_tokens, coalesce(n_unknown, 0)::BIGINT AS n_unknown FROM d LEFT JOIN sums USING (rid)
+"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,4 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": op2_urls.oracle(), "op3_quality_rules": op3_quality.ORACLE, "op10_mixing": op10_mixing.ORACLE}
+    found = {"op2_url_filter": op2_urls.oracle(), "op3_quality_rules": op3_quality.ORACLE, "op10_mixing": op10_mixing.ORACLE}
+    if os.path.exists(op4_tokens.VOCABULARY):
+        found["op4_token_counts"] = op4_tokens.oracle()
+    return found
