@@ -42,8 +42,8 @@ def fragments_for(spark: SparkSession, uri: str, made: Manifest, fragments: list
         index = trees.get(next(iter(names)).lower()) if len(names) == 1 else None
         if index is None:
             continue
-        found = spark.read.parquet(f"{uri}/_indices/{index.uuid}").withColumnRenamed("value", index.column)
-        hit = {r[0] for r in found.where(sql).select("fragment_id").distinct().collect()}
+        found = spark.read.parquet(f"{uri}/_indices/{index.uuid}").select(F.col("value").alias(index.column), F.col("fragment_id").alias("_fragment"))
+        hit = {r[0] for r in found.where(sql).select("_fragment").distinct().collect()}
         covered = set(index.fragment_ids)
         fragments = [f for f in fragments if f.id not in covered or f.id in hit]
     return fragments

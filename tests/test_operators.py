@@ -94,6 +94,14 @@ def test_btree_never_changes_a_result(spark, tmp_path):
     assert t.read_table(spark, uri, filter="id = 45").count() == 1
 
 
+def test_btree_on_a_column_named_like_the_index_has_it(spark, tmp_path):
+    uri = str(tmp_path / "a")
+    t.write_table(spark.range(0, 30, 1, 3).select("id", (F.col("id") / 10).cast("long").alias("fragment_id")), uri, min_rows_per_file=10, max_rows_per_file=10)
+    t.create_scalar_index(spark, uri, column="fragment_id", index_type="BTREE")
+    found = t.read_table(spark, uri, filter="fragment_id = 2")
+    assert found.count() == 10 and len(found.inputFiles()) == 1
+
+
 def test_index_checks(spark, tmp_path):
     uri = str(tmp_path / "a")
     table(spark, uri)
