@@ -32,15 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     if application not in _own_folders:
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
         _own_folders[application] = f"{root.rstrip('/')}/cuts-{application}"
-        atexit.register(_remove, spark, _own_folders[application])
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folders[application])
+        atexit.register(_remove, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
     return _own_folders[application]
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
+def _remove(files, path) -> None:  # noqa: ANN001
     with contextlib.suppress(Exception):  # the JVM may be gone by then
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        files.delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
