@@ -9,8 +9,6 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-from tessera.sources import storage
-
 _roots: dict[str, str] = {}
 
 
@@ -20,10 +18,11 @@ def folder(spark: SparkSession) -> str:
     if application not in _roots:
         named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tables-")
         _roots[application] = f"{named.rstrip('/')}/tables-{application}"
-        atexit.register(_remove, spark, _roots[application])
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_roots[application])
+        atexit.register(_remove, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
     return f"{_roots[application]}/{uuid.uuid4().hex}"
 
 
-def _remove(spark: SparkSession, root: str) -> None:
+def _remove(files, path) -> None:  # noqa: ANN001
     with contextlib.suppress(Exception):  # the JVM may be gone by then
-        storage.delete(spark, root)
+        files.delete(path, True)
