@@ -11,9 +11,12 @@ empty: work per text follows K and its number of elements, not their product.
 Candidates. BANDS bands of ROWS coordinates each are hashed to bucket keys. A bucket is never paired
 with itself: its members are compared with one leader, the member that shares buckets with most others.
 Members that are near no leader stay, with twice as many leaders each round, until none is left.
-Members that fail narrowly (similarity of 0.6 or more, where the triangle inequality of Jaccard
-distance still allows a link to a member that passed) are then compared with two random members of
-each of their buckets.
+A member that is near a leader leaves the bucket, so a text that is linked to it but not to the leader
+is still to be found: after the rounds, every two members of a bucket that are in different components
+are compared, unless the triangle inequality of Jaccard distance (by the bucket's first leader) or their
+numbers of shingles rule a link out. This goes by growing portions of the pairs, and components that a
+portion unites aren't compared further. In the end every two texts that share a bucket are of one
+component, compared, or ruled out.
 
 Check. Candidate pairs are verified on their shingle sets (32-bit ids). Verified links go to
 alternating large-star and small-star rounds; classes, links and fingerprints stay in Spark.
@@ -45,6 +48,10 @@ SIMILARITY = 0.8
 BANDS = 50
 ROWS = 8
 K = BANDS * ROWS
+#: Up to these portions of the pairs across components are compared, with components joined in between; the last is all of them.
+PORTIONS = (1 / 32, 1 / 4, 1.0)
+#: About so many members of a bucket stand in a block.
+BLOCK = 256
 #: Texts whose darts are held together.
 TEXTS_AT_ONCE = 64
 #: The rank axis: [0, 2^-FINE), then [2^m, 2^(m+1)) for m from -FINE on.
@@ -207,8 +214,8 @@ def components(edges: DataFrame) -> DataFrame:
         links = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
 
 
-def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Verified links (u, v) among nodes (rep, keys), as the module's description says."""
+def linked(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, label) of the nodes (doc_id, keys) that are linked to a smaller one, as the module's description says."""
     buckets = nodes.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
     shared = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     members = cut(buckets.join(shared, "key"))
@@ -237,20 +244,48 @@ def links(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
             F.max((F.col("u") == F.col("v")) | F.coalesce(F.col("similarity") >= similarity, F.lit(False))).alias("done"),
             F.coalesce(F.max("near_first"), F.max("similarity")).alias("near_first"),
         )
+        if slots == 1:
+            done = cut(done)
+            first = done.select("key", "rep", F.coalesce("near_first", F.lit(1.0)).alias("near_first"))  # none: the leader itself
         known = rest.select("key", "rep", "degree", "near_first").join(done.select("key", "rep", "done", F.col("near_first").alias("now")), ["key", "rep"], "left") if slots > 1 else done.withColumn("now", F.col("near_first"))
         rest = cut(known.where(~F.coalesce("done", F.lit(False))).select("key", "rep", "degree", F.coalesce("now", "near_first").alias("near_first")))
         if rest.isEmpty():
             break
         slots *= 2
-    judged = reduce(DataFrame.union, tested)
-    found = judged.where(F.col("similarity") >= similarity).select("u", "v")
-    narrow = judged.where((F.col("similarity") < similarity) & (F.col("similarity") >= 2 * similarity - 1))
-    lost = narrow.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
-    picks = members.groupBy("key").agg(*(f("rep", unit_hash("key", "rep")).alias(n) for n, f in (("p", F.max_by), ("q", F.min_by))))
-    chosen = members.join(lost, "rep").join(picks, "key").select("rep", F.explode(F.array("p", "q")).alias("other"))
-    chosen = chosen.where("rep <> other").select(F.greatest("rep", "other").alias("u"), F.least("rep", "other").alias("v")).distinct()
-    second = cut(verified(chosen.join(judged, ["u", "v"], "left_anti"), sets))
-    return found.union(second.where(F.col("similarity") >= similarity).select("u", "v"))
+    return united(first, reduce(DataFrame.union, tested), sets, similarity)
+
+
+def united(members: DataFrame, judged: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(id, label) once every two members (key, rep, near_first) of a bucket are of one component, judged, or ruled out."""
+    labels = cut(components(judged.where(F.col("similarity") >= similarity).select("u", "v")))
+    sizes = sets.select(F.col("doc_id").alias("rep"), F.size(F.array_distinct("set")).alias("size"))
+    members = cut(members.join(sizes, "rep"))
+    for portion in PORTIONS:
+        placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        kinds = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+        homes = kinds.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("home"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
+        mixed = cut(placed.join(homes.where("kinds > 1"), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK)))
+        # Of two components one isn't the bucket's largest: its members go to each block of the others.
+        strays = mixed.where("label <> home").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_s") for c in ("rep", "label", "near_first", "size")))
+        blocks = mixed.withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
+        reach = 1 - similarity + 1e-9
+        near = ~F.coalesce(F.abs(F.col("near_first") - F.col("near_first_s")) > reach, F.lit(False))
+        alike = F.least("size", "size_s") >= F.greatest("size", "size_s") * (similarity - 1e-9)
+        u, v = F.greatest("rep", "rep_s"), F.least("rep", "rep_s")
+        once = (F.col("label") == F.col("home")) | (F.col("rep") < F.col("rep_s"))
+        pairs = blocks.join(strays, ["key", "part"]).where((F.col("label") != F.col("label_s")) & once & alike & near).select(u.alias("u"), v.alias("v"))
+        pairs = pairs.where(unit_hash("u", "v") < portion).distinct().join(judged, ["u", "v"], "left_anti")
+        new = cut(verified(pairs, sets))
+        judged = judged.union(new)
+        found = new.where(F.col("similarity") >= similarity)
+        if found.isEmpty():
+            continue
+        known = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"label_{side}"))
+        joints = found.join(known("u"), "u", "left").join(known("v"), "v", "left").select(F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v"))
+        merged = cut(components(joints))
+        moved = labels.join(merged.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+        labels = cut(moved.union(merged))
+    return labels
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "binary") -> DataFrame:
@@ -259,7 +294,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "b
     copies = cut(marked.groupBy("a", "b").agg(F.min("doc_id").alias("rep")))
     member = cut(marked.select("doc_id", "a", "b").join(copies, ["a", "b"]).select("doc_id", "a", "rep"))
     nodes = marked.join(copies.select("a", "b", F.col("rep").alias("doc_id")), ["a", "b", "doc_id"], "left_semi").where(F.size("keys") > 0).dropDuplicates(["doc_id", "a", "b"])
-    labels = components(links(nodes.select("doc_id", "keys"), docs, similarity))
+    labels = linked(nodes.select("doc_id", "keys"), docs, similarity)
     named = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("a").alias("text_key"), F.coalesce("label", "rep").alias("class_id"))
     alone = docs.where("doc_id IS NULL OR text IS NULL").select("doc_id", F.xxhash64("text").alias("text_key"), F.col("doc_id").alias("class_id"))
     return named.union(alone)

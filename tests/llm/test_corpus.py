@@ -74,6 +74,21 @@ def test_hot_groups_of_copies(spark):
     assert (got[0]["class_id"], got[0]["count"]) == (0, 300) and len(got) == 51
 
 
+def test_texts_linked_to_one_member_of_a_large_family(spark):
+    """Of 1,500 near copies of a text, each of eight others is linked to one only, by the shingles of one edit."""
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(1000)]
+    edit = lambda words, places, name: [f"{name}x{i}" if i in places else w for i, w in enumerate(words)]
+    members = [edit(base, {5 * rng.randrange(2, 99)}, f"edit{i}") for i in range(1500)]
+    far = [edit(members[i], set(rng.sample(range(510, 980, 10), 22)), f"far{i}") for i in range(0, 1500, 200)]
+    sets = [set(zip(*(r[k:] for k in range(5)), strict=False)) for r in (base, *members, *far)]
+    for text in sets[1501:]:
+        assert sum(len(text & s) >= 0.8 * len(text | s) for s in sets[:1501]) == 1
+    docs = list(enumerate(" ".join(r) for r in (base, *members, *far)))
+    got = {r.doc_id: r.class_id for r in op6_neardup.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert len(got) == len(docs) and set(got.values()) == {0}
+
+
 def test_near_duplicate_edges(spark, odd, nothing):
     got = op6_neardup.classes(odd).collect()
     assert len(got) == 11 and {(r.doc_id, r.class_id) for r in got} == {(i, i) for i in range(1, 9)} | {(None, None)}
