@@ -6,10 +6,10 @@ Tokens are folded words, hashed to 2^BITS bins. Three passes, none of which shuf
 1. Counts. Every partition counts the bins of all its tokens; the sums over the corpus give each bin's
    probability within its class. The TOP most frequent bins are classes of their own; the others are
    dealt to REST classes by their hash.
-2. Training. Every partition trains the network from one shared start on its own texts (each token is a
-   target with probability 1 / STRIDE, chosen by its place's hash), and sends its weights, weighted
-   by its number of targets, to a distributed average. A second round starts from that average. What
-   is gathered follows the number of partitions, so the input.
+2. Training. Every partition trains the network from one shared start on its own texts and sends its
+   weights, weighted by its number of targets, to a distributed average, from which the next round
+   starts. A place's hash names the round in which it is a target: in the ROUNDS rounds every token
+   of every text is a target once. What is gathered follows the number of partitions, so the input.
 3. Scores. P(token | both sides) = P(class | window) * P(bin | class), for every token of every text.
 
 The network: the embeddings of SIDE words on either side, a hidden tanh layer, a softmax over the classes.
@@ -40,8 +40,7 @@ REST = 64
 SIDE = 2
 EMBEDDING = 8
 HIDDEN = 24
-STRIDE = 4
-ROUNDS = 2
+ROUNDS = 4
 BATCH = 512
 RATE = 0.05
 SEED = 42
@@ -178,8 +177,14 @@ def counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def trained(docs: DataFrame, lexicon: Lexicon, start: Network) -> Network:
-    """One round: partitions train on their own texts, and the average of their weights is formed in Spark."""
+def turn(doc: np.ndarray, bins: np.ndarray) -> np.ndarray:
+    """The round in which each place is a target, by its place in the document, so the same however texts are batched."""
+    place = (np.arange(len(doc)) - np.searchsorted(doc, doc)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mix(place + bins.astype(np.uint64)) % np.uint64(ROUNDS)
+
+
+def trained(docs: DataFrame, lexicon: Lexicon, start: Network, nth: int) -> Network:
+    """Round `nth`: partitions train on their own texts, and the average of their weights is formed in Spark."""
 
     def run(batches):  # noqa: ANN001, ANN202
         network = start.filled(start.flat())
@@ -189,8 +194,7 @@ def trained(docs: DataFrame, lexicon: Lexicon, start: Network) -> Network:
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 doc, bins = tokens(chunk)
-                place = np.arange(len(bins), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                use = np.flatnonzero(mix(place + bins.astype(np.uint64)) % np.uint64(STRIDE) == 0)
+                use = np.flatnonzero(turn(doc, bins) == nth)
                 held.append((vectors(contexts(doc, bins)[:, use]), lexicon.classes[bins[use]]))
                 size += len(use)
                 while size >= BATCH:
@@ -219,8 +223,8 @@ def fit(docs: DataFrame) -> tuple[Network, Lexicon]:
     filled = docs.where("text IS NOT NULL")
     lexicon = Lexicon.of(counts(filled))
     network = Network.start()
-    for _ in range(ROUNDS):
-        network = trained(filled, lexicon, network)
+    for nth in range(ROUNDS):
+        network = trained(filled, lexicon, network, nth)
     return network, lexicon
 
 

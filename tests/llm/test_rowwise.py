@@ -237,6 +237,24 @@ def test_lm_scores_against_brute_force(spark, corpus, odd, nothing):
     assert op8_lm.score(nothing, op8_lm.fit(nothing)).count() == 0
 
 
+def test_lm_trains_on_every_place(spark, corpus, monkeypatch):
+    docs = corpus[0].where("doc_id < 40").select("text").coalesce(1)
+    texts = docs.toArrow()
+    learnt = []
+
+    def here(df, run, ddl):
+        return spark.createDataFrame([r for b in run(iter(texts.to_batches(max_chunksize=7))) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)], ddl)
+
+    monkeypatch.setattr(op8_lm, "arrow_map", here)
+    monkeypatch.setattr(op8_lm.Network, "learn", lambda self, context, classes, memory: learnt.extend(zip(map(tuple, context.T.tolist()), classes.tolist(), strict=True)))
+    _, lexicon = op8_lm.fit(docs)
+    want = []
+    for chunk in chunks(texts["text"]):
+        doc, bins = op8_lm.tokens(chunk)
+        want += zip(map(tuple, op8_lm.vectors(op8_lm.contexts(doc, bins)).T.tolist()), lexicon.classes[bins].tolist(), strict=True)
+    assert len(want) > 1000 and sorted(learnt) == sorted(want)
+
+
 def test_lm_prefers_the_corpus(spark, corpus):
     docs, _ = corpus
     model = op8_lm.fit(docs)
