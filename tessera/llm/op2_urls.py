@@ -4,8 +4,8 @@
    skeleton. Urls are aggregated by (host, skeleton) with their labels: from here on the tree works on
    skeletons, a hot host costs partial sums only.
 2. The tree is walked from the root, one level of all hosts at a time: below a node with more than FANOUT
-   different segments, those with less than SHARE of its urls become a wildcard. Segments below
-   level DEPTH count as one.
+   different segments, those with less than SHARE of its urls become a wildcard. Of what is below
+   level DEPTH only the first segment is in a template, as in the SQL.
 3. Sibling branches with equal wildcard shape below them and labelled block rates that a two-proportion
    test (Z standard deviations) cannot tell from their pool's are merged: their segment becomes a wildcard.
 4. A template is rejected if its smoothed purity (blocked + STRENGTH * overall rate) / (labelled +
