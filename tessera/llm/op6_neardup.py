@@ -37,7 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import ALNUM, Chunk, chunks, mix
@@ -174,8 +174,13 @@ def signed(docs: DataFrame, weighting: str = "binary") -> DataFrame:
     return arrow_map(keyed, run, "doc_id long, a long, b long, keys array<long>")
 
 
+def node(doc_id: str, key: Column) -> Column:
+    """What stands for a text: the smallest doc_id that has it, then its key, as a doc_id may stand on several texts."""
+    return F.struct(F.col(doc_id).alias("doc_id"), key.alias("a"))
+
+
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, set): sorted 32-bit shingle ids of each row."""
+    """(doc_id, set): sorted 32-bit shingle ids of each row; doc_id is a node."""
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
@@ -185,7 +190,7 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 small = (ids & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[chunk.first : chunk.first + chunk.rows], pa.ListArray.from_arrays(pa.array(bounds), pa.array(small))], ["doc_id", "set"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, set array<int>")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id struct<doc_id: long, a: long>, set array<int>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -221,7 +226,8 @@ def linked(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) ->
     members = cut(buckets.join(shared, "key"))
     degree = cut(members.groupBy("rep").agg((F.sum("n") - F.count(F.lit(1)) + unit_hash("rep")).alias("degree")))
     members = cut(members.join(degree, "rep").select("key", "rep", "degree"))
-    sets = cut(shingle_sets(by_ids(docs.where("text IS NOT NULL"), degree.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(node("doc_id", F.xxhash64("text")).alias("doc_id"), "text")
+    sets = cut(shingle_sets(by_ids(texts, degree.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
 
     tested: list[DataFrame] = []
     # `near_first`: how near a member is to its bucket's first leader. Two members whose distances to one
@@ -292,10 +298,10 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "b
     """(doc_id, text_key, class_id) for each row of `docs` (doc_id, text); text_key is xxhash64 of the text."""
     marked = cut(signed(docs, weighting))
     copies = cut(marked.groupBy("a", "b").agg(F.min("doc_id").alias("rep")))
-    member = cut(marked.select("doc_id", "a", "b").join(copies, ["a", "b"]).select("doc_id", "a", "rep"))
+    member = cut(marked.select("doc_id", "a", "b").join(copies, ["a", "b"]).select("doc_id", "a", node("rep", F.col("a")).alias("rep")))
     nodes = marked.join(copies.select("a", "b", F.col("rep").alias("doc_id")), ["a", "b", "doc_id"], "left_semi").where(F.size("keys") > 0).dropDuplicates(["doc_id", "a", "b"])
-    labels = linked(nodes.select("doc_id", "keys"), docs, similarity)
-    named = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("a").alias("text_key"), F.coalesce("label", "rep").alias("class_id"))
+    labels = linked(nodes.select(node("doc_id", F.col("a")).alias("doc_id"), "keys"), docs, similarity)
+    named = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("a").alias("text_key"), F.coalesce("label", "rep")["doc_id"].alias("class_id"))
     alone = docs.where("doc_id IS NULL OR text IS NULL").select("doc_id", F.xxhash64("text").alias("text_key"), F.col("doc_id").alias("class_id"))
     return named.union(alone)
 

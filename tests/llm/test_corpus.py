@@ -89,6 +89,16 @@ def test_texts_linked_to_one_member_of_a_large_family(spark):
     assert len(got) == len(docs) and set(got.values()) == {0}
 
 
+def test_a_doc_id_on_two_texts(spark):
+    rng = random.Random(19)
+    words, other = prose(rng, "en", 100).split(), prose(rng, "de", 100)
+    copy = " ".join([*words[:50], "edit", *words[51:]])
+    docs = spark.createDataFrame([(3, " ".join(words)), (5, copy), (5, other)], "doc_id long, text string")
+    got = {(r.doc_id, r.text, r.class_id) for r in op6_neardup.classes(docs).join(docs.withColumn("text_key", F.xxhash64("text")), ["doc_id", "text_key"]).collect()}
+    assert got == {(3, " ".join(words), 3), (5, copy, 3), (5, other, 5)}
+    assert {tuple(r) for r in op6_neardup.one_of_each(docs).collect()} == {(3, " ".join(words)), (5, other)}
+
+
 def test_near_duplicate_edges(spark, odd, nothing):
     got = op6_neardup.classes(odd).collect()
     assert len(got) == 11 and {(r.doc_id, r.class_id) for r in got} == {(i, i) for i in range(1, 9)} | {(None, None)}
