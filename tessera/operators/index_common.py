@@ -19,7 +19,7 @@ def open_target(spark: SparkSession, target: str | Table | None, table_id: list[
 
 def check_name(made: Manifest, name: str, replace_old: bool) -> None:
     if not replace_old and any(i.name == name for i in made.indices):
-        raise ValueError(f"Index with name '{name}' already exists; use replace=True to replace it")
+        raise ValueError(f"an index named '{name}' already exists: pass replace=True to build it again")
 
 
 def check_column(made: Manifest, column: str):  # noqa: ANN201
@@ -45,7 +45,9 @@ def covered(made: Manifest, fragment_ids: list[int] | None) -> list[Fragment]:
 
 def commit_index(table: Table, index: IndexMeta, source: Manifest) -> Table:
     """Add the index in one commit, in place of one of its name."""
-    used = {f.id: f for f in source.fragments if f.id in set(index.fragment_ids)}
+    held = set(index.fragment_ids)
+    index = replace(index, built=index.fragment_ids)
+    used = {f.id: f for f in source.fragments if f.id in held}
 
     def change(head: Manifest) -> Manifest:
         now = {f.id: f.path for f in head.fragments}

@@ -27,7 +27,7 @@ BUILT = ("BTREE", *TEXT)
 
 
 class IndexConfig:
-    """An index type with its options; column type checks are left out for it."""
+    """An index type with its options (remove_stop_words, with_position); column type checks are left out for it."""
 
     def __init__(self, index_type: str, **parameters: object) -> None:
         self.index_type, self.parameters = index_type, parameters
@@ -36,9 +36,9 @@ class IndexConfig:
 def _check_type(index_type: str, column: str, kind: T.DataType) -> None:
     inner = kind.elementType if isinstance(kind, T.ArrayType) else kind
     if index_type in TEXT and not isinstance(inner, T.StringType):
-        raise TypeError(f"Column {column} must be string type for {index_type} index, got {kind.simpleString()}")
+        raise TypeError(f"a {index_type} index needs text: column {column} must be string type, not {kind.simpleString()}")
     if index_type == "BTREE" and not isinstance(inner, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.StringType)):
-        raise TypeError(f"Column {column} must be numeric or string type for BTREE index, got {kind.simpleString()}")
+        raise TypeError(f"a BTREE index needs ordered values: column {column} must be numeric or string type, not {kind.simpleString()}")
 
 
 def postings(rows: DataFrame, column: str, remove_stop_words: bool, with_position: bool, parts: int | None = None) -> DataFrame:
@@ -92,7 +92,7 @@ def create_scalar_index(
 ) -> Table:
     """Build an index over a column and commit it; the table's handle at the new version.
 
-    `num_workers` bounds the index's files for small tables; `train` and further options are accepted.
+    `num_workers` bounds the index's files for small tables; an index is always trained (`train`); other options are refused.
     """
     if not column:
         raise ValueError("Column name cannot be empty")
@@ -100,6 +100,8 @@ def create_scalar_index(
         raise ValueError(f"num_workers must be positive, got {num_workers}")
     config = isinstance(index_type, IndexConfig)
     kind_name = index_type.index_type if config else index_type
+    if unknown := sorted({*options, *(index_type.parameters if config else ())} - {"remove_stop_words", "with_position"}):
+        raise ValueError(f"index options {unknown} are not supported")
     if config:
         remove_stop_words = bool(index_type.parameters.get("remove_stop_words", remove_stop_words))
         with_position = bool(index_type.parameters.get("with_position", with_position))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tessera.functions.distance import check_metric, distance
@@ -38,11 +38,23 @@ def _split(table: Table, index: IndexMeta | None) -> tuple[list[Fragment], list[
     return [f for f in table.fragments() if f.id in held], [f for f in table.fragments() if f.id not in held]
 
 
-def _without_deleted(table: Table, rows: DataFrame, fragments: list[Fragment]) -> DataFrame:
-    live = [f for f in fragments if f.deletions]
-    if not live:
+#: So many fragment ids stand in a filter; beyond that they are joined.
+LISTED = 1000
+
+
+def _live(table: Table, rows: DataFrame, index: IndexMeta, done: list[Fragment]) -> DataFrame:
+    """An index's rows without those of fragments that are gone and without deleted ones."""
+    if len(done) < len(index.built):
+        fragment = F.shiftright(ROW_ID, 32)
+        if len(done) <= LISTED:
+            rows = rows.where(fragment.isin([f.id for f in done]))
+        else:
+            ids = table.spark.createDataFrame([(f.id,) for f in done], "_fragment long")
+            rows = rows.join(reader.bounded(ids, len(done)), fragment == F.col("_fragment"), "left_semi")
+    cut = [f for f in done if f.deletions]
+    if not cut:
         return rows
-    return rows.join(reader.bounded(reader.deletions(table.spark, table.uri, live), sum(f.deleted_rows for f in live)), ROW_ID, "left_anti")
+    return rows.join(reader.bounded(reader.deletions(table.spark, table.uri, cut), sum(f.deleted_rows for f in cut)), ROW_ID, "left_anti")
 
 
 def full_text_search(table: Table, query: str, *, column: str | None = None, columns: list[str] | None = None, operator: str = "or", limit: int | None = None, phrase: bool = False) -> DataFrame:
@@ -62,9 +74,9 @@ def full_text_search(table: Table, query: str, *, column: str | None = None, col
         if phrase and not index.details["with_position"]:
             raise ValueError("phrase queries need an index with positions")
         folder = f"{table.uri}/_indices/{index.uuid}"
-        alive = F.shiftright(ROW_ID, 32).isin([f.id for f in done]) if len(done) < len(index.fragment_ids) else F.lit(True)
-        found.append(_without_deleted(table, table.spark.read.parquet(f"{folder}/postings").where(F.col("token").isin(wanted)), done).where(alive).select(ROW_ID, "token", "tf", "positions"))
-        sizes.append(table.spark.read.parquet(f"{folder}/lengths"))
+        listed = table.spark.read.parquet(f"{folder}/postings").where(F.col("token").isin(wanted))
+        found.append(_live(table, listed, index, done).select(ROW_ID, "token", "tf", "positions"))
+        sizes.append(_live(table, table.spark.read.parquet(f"{folder}/lengths"), index, done))
     if rest:
         rows = reader.live(table.spark, table.uri, table.schema, rest, row_ids=True).select(ROW_ID, F.col(f"`{column}`"))
         found.append(scalar_index.postings(rows, column, stop, True).where(F.col("token").isin(wanted)).select(ROW_ID, "token", "tf", "positions"))
@@ -72,14 +84,15 @@ def full_text_search(table: Table, query: str, *, column: str | None = None, col
     if not found or not wanted:
         return reader.live(table.spark, table.uri, table.schema, [], row_ids=False).withColumn("_score", F.lit(0.0))
     hits, size = reduce(DataFrame.union, found), reduce(DataFrame.union, sizes)
-    if rest or any(f.deletions for f in done):
-        sums = _without_deleted(table, size, table.fragments()).agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    if rest or len(done) < len(index.built) or any(f.deletions for f in done):
+        sums = size.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
     else:
         sums = (index.details["documents"], index.details["words"])
     documents, mean = sums[0], max(sums[1], 1) / max(sums[0], 1)
-    # One row for each token of the query.
-    frequency = {r["token"]: r["n"] for r in hits.groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
-    idf = {t: float(np.log(1 + (documents - n + 0.5) / (n + 0.5))) for t, n in frequency.items()}
+    # One row for each token of the query, with the fragments that hold it.
+    known = hits.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.shiftright(ROW_ID, 32)).alias("fragments")).collect()
+    idf = {r["token"]: float(np.log(1 + (documents - r["n"] + 0.5) / (r["n"] + 0.5))) for r in known}
+    holding = {i for r in known for i in r["fragments"]}
     weight = F.lit(0.0)
     for t, v in idf.items():
         weight = F.when(F.col("token") == t, v).otherwise(weight)
@@ -95,22 +108,21 @@ def full_text_search(table: Table, query: str, *, column: str | None = None, col
     ranked = ranked.select(ROW_ID, "_score")
     names = columns or table.schema.names
     if limit is None:
-        rows = reader.live(table.spark, table.uri, table.schema, table.fragments(), row_ids=True)
+        rows = reader.live(table.spark, table.uri, table.schema, [f for f in table.fragments() if f.id in holding], row_ids=True)
         return rows.join(ranked, ROW_ID).select(*(F.col(f"`{c}`") for c in names), "_score")
-    return fetch(table, ranked.orderBy(F.desc("_score"), ROW_ID).limit(limit), limit, names, ["_score"]).orderBy(F.desc("_score"), ROW_ID).drop(ROW_ID)
+    return fetch(table, ranked.orderBy(F.desc("_score"), ROW_ID).limit(limit).collect(), names, ["_score"]).orderBy(F.desc("_score"), ROW_ID).drop(ROW_ID)
 
 
 def _moved(places: Column, k: int) -> Column:
     return F.transform(places, lambda p: p - k)
 
 
-def fetch(table: Table, best: DataFrame, rows: int, names: list[str], extra: list[str]) -> DataFrame:
-    """The columns of a few rows by `_rowid`, read from their fragments only; `best` has at most `rows` rows."""
-    got = best.collect()
-    local = table.spark.createDataFrame(got, best.schema)
-    ids = {r[ROW_ID] >> 32 for r in got}
+def fetch(table: Table, best: list[Row], names: list[str], extra: list[str]) -> DataFrame:
+    """The columns of a few rows by `_rowid`, read from their fragments only; `extra` doubles come from `best`."""
+    local = table.spark.createDataFrame([tuple(r) for r in best], ", ".join([f"{ROW_ID} long", *(f"{c} double" for c in extra)]))
+    ids = {r[ROW_ID] >> 32 for r in best}
     data = reader.live(table.spark, table.uri, table.schema, [f for f in table.fragments() if f.id in ids], row_ids=True)
-    return data.join(reader.bounded(local, rows), ROW_ID).select(ROW_ID, *(F.col(f"`{c}`") for c in names), *extra)
+    return data.join(reader.bounded(local, len(best)), ROW_ID).select(ROW_ID, *(F.col(f"`{c}`") for c in names), *extra)
 
 
 def nearest(
@@ -128,8 +140,9 @@ def nearest(
 ) -> DataFrame:
     """The k nearest rows with `_distance`, nearest first, ties by row id.
 
-    With an index only `nprobes` of its partitions are read; `refine_factor` takes that many times k candidates by
-    stored codes and ranks them by exact distance. A filter makes the search exact.
+    With an index only `nprobes` of its partitions are read, more only where they hold fewer than k live rows;
+    `refine_factor` takes that many times k candidates by stored codes and ranks them by exact distance. A filter
+    makes the search exact.
     """
     query = np.asarray(q, dtype=np.float64)
     index = _index_of(table, vector_index.SPELLED, column) if use_index and filter is None else None
@@ -139,18 +152,22 @@ def nearest(
     done, rest = _split(table, index)
     names = columns or table.schema.names
     order = [F.col("_distance").asc_nulls_last(), F.col(ROW_ID).asc()]
-    parts = []
+    exact = distance(F.col(f"`{column}`"), q, metric).alias("_distance")
     wanted = k * (refine_factor or 1)
-    if done:
-        near = vector_index.candidates(table, index, query, nprobes, metric)
-        alive = F.shiftright(ROW_ID, 32).isin([f.id for f in done]) if len(done) < len(index.fragment_ids) else F.lit(True)
-        coarse = _without_deleted(table, near, done).where(alive).orderBy(*order).limit(wanted)
-        if refine_factor:
-            coarse = fetch(table, coarse.select(ROW_ID), wanted, [column], []).select(ROW_ID, distance(F.col(f"`{column}`"), q, metric).alias("_distance"))
-        parts.append(coarse)
+    plain = None
     if rest or not done:
         rows = reader.live(table.spark, table.uri, table.schema, rest, row_ids=True)
         rows = rows.where(filter) if filter else rows
-        parts.append(rows.where(F.col(f"`{column}`").isNotNull()).select(ROW_ID, distance(F.col(f"`{column}`"), q, metric).alias("_distance")))
-    best = reduce(DataFrame.union, parts).orderBy(*order).limit(k)
-    return fetch(table, best, k, names, ["_distance"]).orderBy(*order).drop(ROW_ID)
+        plain = rows.where(F.col(f"`{column}`").isNotNull()).select(ROW_ID, exact)
+    while True:
+        parts = [plain] if plain is not None else []
+        if done:
+            near, partitions = vector_index.candidates(table, index, query, nprobes, metric)
+            coarse = _live(table, near, index, done).orderBy(*order).limit(wanted)
+            if refine_factor:
+                coarse = fetch(table, coarse.select(ROW_ID).collect(), [column], []).select(ROW_ID, exact)
+            parts.append(coarse)
+        best = reduce(DataFrame.union, parts).orderBy(*order).limit(k).collect()
+        if not done or len(best) == k or nprobes >= partitions:
+            return fetch(table, best, names, ["_distance"]).orderBy(*order).drop(ROW_ID)
+        nprobes *= 4

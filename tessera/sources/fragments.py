@@ -22,16 +22,17 @@ from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from tessera.sources import catalog, manifest
 from tessera.sources.manifest import Fragment, Manifest
-from tessera.sources.writer import MODES, as_schema, commit_fragments_at
+from tessera.sources.writer import MODES, as_schema, commit_fragments_at, shape
 
 FRAGMENT_SCHEMA = "fragment string, schema string"
 
 
 class FragmentWriter:
-    """A function for mapInArrow: each input batch, transformed, goes to one or more new Parquet files.
+    """A function for mapInArrow: a partition's batches, transformed, go to new Parquet files.
 
     `transform` gets a table and returns one, or yields several. Without `schema` the first batch's is
-    taken. Files are cut at `max_rows_per_file` rows or about `max_bytes_per_file` bytes in memory.
+    taken. Files are cut at `max_rows_per_file` rows or about `max_bytes_per_file` bytes in memory, however
+    many batches that is.
     """
 
     def __init__(
@@ -66,23 +67,69 @@ class FragmentWriter:
             part = part.select(names)
             yield part.cast(self.schema) if self.schema else part
 
-    def _write(self, table: pa.Table) -> tuple[str, str]:
-        path = f"data/{uuid.uuid4().hex}/part-0.parquet"
-        files, root = fs.FileSystem.from_uri(self.uri) if "://" in self.uri else (fs.LocalFileSystem(), self.uri.removeprefix("file:"))
-        files.create_dir(f"{root}/{path.rpartition('/')[0]}", recursive=True)
-        pq.write_table(table, f"{root}/{path}", filesystem=files, row_group_size=self.group)
-        size = files.get_file_info(f"{root}/{path}").size
-        return json.dumps({"path": path, "rows": table.num_rows, "bytes": size}), from_arrow_schema(table.schema).json()
-
-    def _step(self, table: pa.Table) -> int:
-        by_bytes = self.max_rows if not self.max_bytes else max(1, self.max_bytes * table.num_rows // max(1, table.nbytes))
-        return min(self.max_rows, by_bytes)
-
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Write the partition's batches; a file stays open over batches until it is full."""
+        file: _File | None = None
         for batch in batches:
-            written = [self._write(part.slice(at, step)) for part in self._tables(pa.Table.from_batches([batch])) for step in [self._step(part)] for at in range(0, part.num_rows, step)]
-            if written:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*written, strict=True)], ["fragment", "schema"])
+            for table in self._tables(pa.Table.from_batches([batch])):
+                at = 0
+                while at < table.num_rows:
+                    file = file or _File(self.uri, table.schema, self.group)
+                    part = table.slice(at, self._room(file, table))
+                    file.add(part)
+                    at += part.num_rows
+                    if self._full(file):
+                        yield file.close()
+                        file = None
+        if file:
+            yield file.close()
+
+    def _room(self, file: _File, table: pa.Table) -> int:
+        """How many of the table's rows still go to the file, one at least."""
+        rows = self.max_rows - file.rows
+        if self.max_bytes:
+            rows = min(rows, (self.max_bytes - file.bytes) * table.num_rows // max(1, table.nbytes))
+        return max(1, rows)
+
+    def _full(self, file: _File) -> bool:
+        return file.rows >= self.max_rows or bool(self.max_bytes and file.bytes >= self.max_bytes)
+
+
+class _File:
+    """A Parquet file that grows by row groups; rows wait in memory for a group of their own."""
+
+    #: Rows and bytes that wait at most.
+    ROWS, BYTES = 1 << 20, 1 << 26
+
+    def __init__(self, uri: str, schema: pa.Schema, group: int | None) -> None:
+        files, root = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri.removeprefix("file:"))
+        self.path = f"data/{uuid.uuid4().hex}/part-0.parquet"
+        files.create_dir(f"{root}/{self.path.rpartition('/')[0]}", recursive=True)
+        self.files, self.full, self.schema = files, f"{root}/{self.path}", schema
+        self.writer = pq.ParquetWriter(self.full, schema, filesystem=files)
+        self.waiting: list[pa.Table] = []
+        self.group = group or self.ROWS
+        self.rows = self.bytes = self.held_rows = self.held_bytes = 0
+
+    def add(self, table: pa.Table) -> None:
+        if table.schema.names != self.schema.names:
+            raise ValueError(f"a batch has columns {table.schema.names}, an earlier one {self.schema.names}")
+        self.waiting.append(table.cast(self.schema))
+        self.rows, self.bytes = self.rows + table.num_rows, self.bytes + table.nbytes
+        self.held_rows, self.held_bytes = self.held_rows + table.num_rows, self.held_bytes + table.nbytes
+        if self.held_rows >= self.group or self.held_bytes >= self.BYTES:
+            self._flush()
+
+    def _flush(self) -> None:
+        if self.waiting:
+            self.writer.write_table(pa.concat_tables(self.waiting), row_group_size=self.group)
+            self.waiting, self.held_rows, self.held_bytes = [], 0, 0
+
+    def close(self) -> pa.RecordBatch:
+        self._flush()
+        self.writer.close()
+        described = {"path": self.path, "rows": self.rows, "bytes": self.files.get_file_info(self.full).size}
+        return pa.RecordBatch.from_arrays([pa.array([json.dumps(described)]), pa.array([from_arrow_schema(self.schema).json()])], ["fragment", "schema"])
 
 
 def commit_fragments(
@@ -102,12 +149,13 @@ def commit_fragments(
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     spark = rows.sparkSession
     location = catalog.resolve_for_write(spark, mode, uri, namespace_impl, namespace_properties, table_id)
-    if mode == "append":
-        manifest.load(spark, location)
+    head = manifest.load(spark, location) if mode == "append" else None
     found = [(json.loads(r["fragment"]), r["schema"]) for r in rows.select("fragment", "schema").collect()]
     schemas = {s for _, s in found}
     if len(schemas) > 1:
         raise ValueError("fragments have different schemas")
     fragments = [Fragment(-1, f["path"], f["rows"], f["bytes"]) for f, _ in found if f["rows"]]
     schema = T.StructType.fromJson(json.loads(schemas.pop())) if schemas else T.StructType()
+    if head and fragments and shape(schema) != shape(head.schema):
+        raise ValueError(f"the fragments have columns {shape(schema)}, the table {shape(head.schema)}")
     return commit_fragments_at(spark, location, mode, schema, fragments)

@@ -58,6 +58,8 @@ class IndexMeta:
     fragment_ids: tuple[int, ...]
     index_version: int = 0
     details: dict = field(default_factory=dict)
+    #: The fragments that its files hold; `fragment_ids` are those of them that are still there.
+    built: tuple[int, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -85,7 +87,7 @@ class Manifest:
     def loads(cls, text: str) -> Manifest:
         raw = json.loads(text)
         raw["fragments"] = tuple(Fragment(**f | {"deletions": tuple(f["deletions"])}) for f in raw["fragments"])
-        raw["indices"] = tuple(IndexMeta(**i | {"fields": tuple(i["fields"]), "fragment_ids": tuple(i["fragment_ids"])}) for i in raw["indices"])
+        raw["indices"] = tuple(IndexMeta(**i | {k: tuple(i.get(k, ())) for k in ("fields", "fragment_ids", "built")}) for i in raw["indices"])
         return cls(**raw)
 
     def with_schema(self, schema: StructType) -> Manifest:

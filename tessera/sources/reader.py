@@ -19,6 +19,7 @@ from tessera.sources.manifest import Fragment, Manifest
 ROW_ID = "_rowid"
 #: Rows of (long, long) that may be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+SCAN_OPTIONS = {"columns", "filter", "with_row_id", "batch_size", "nearest", "full_text_query"}
 
 
 def bounded(df: DataFrame, rows: int) -> DataFrame:
@@ -92,17 +93,25 @@ def read_table(
     """A table's rows as a DataFrame, lazily.
 
     `columns` and `filter` override their namesakes in `scanner_options`, which also takes with_row_id,
-    and batch_size (an upper bound is Spark's own columnar batch). `dataset_options["version"]` reads an
+    and batch_size: the rows of an Arrow batch at most that Python functions of this session then get. Other
+    options are refused. `dataset_options["version"]` reads an
     older version. `scanner_options["full_text_query"]` (a string, or a dict with query and columns) and
     `scanner_options["nearest"]` (a dict with column, q, k and the options of `nearest`) search instead. An index on a filtered column is used to leave fragments out. Storage credentials
-    belong to the session's Hadoop settings; `storage_options` are set there. `override_num_blocks`
-    coalesces the scan to at most so many partitions; `concurrency` is the scheduler's matter.
+    belong to the session's Hadoop settings; `storage_options` are set there. `override_num_blocks` makes so many
+    partitions, by a shuffle only if the scan has fewer; `concurrency` is the most tasks that read at once.
     """
     from tessera.plans.prune import fragments_for
 
     location = catalog.resolve(spark, uri, namespace_impl, namespace_properties, table_id)
     set_storage(spark, storage_options)
     options = dict(scanner_options or {})
+    if unknown := sorted(set(options) - SCAN_OPTIONS):
+        raise ValueError(f"scan options {unknown} are not supported; known: {sorted(SCAN_OPTIONS)}")
+    for name, value in (("concurrency", concurrency), ("override_num_blocks", override_num_blocks), ("batch_size", options.get("batch_size"))):
+        if value is not None and value <= 0:
+            raise ValueError(f"{name} must be positive")
+    if options.get("batch_size"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(options["batch_size"]))
     columns = options.get("columns") if columns is None else columns
     predicate = options.get("filter") if filter is None else filter
     made = manifest.load(spark, location, (dataset_options or {}).get("version"))
@@ -117,7 +126,10 @@ def read_table(
         df = df.where(predicate)
     if columns is not None:
         df = df.select(*(F.col(f"`{c}`") for c in columns), *([ROW_ID] if row_ids else []))
-    return df.coalesce(override_num_blocks) if override_num_blocks else df
+    if override_num_blocks:
+        more = override_num_blocks > sum(max(1, (f.bytes or 0) >> 27) for f in fragments)
+        df = df.repartition(override_num_blocks) if more else df.coalesce(override_num_blocks)
+    return df.coalesce(concurrency) if concurrency else df
 
 
 def _searched(spark: SparkSession, uri: str, version: int, columns: list[str] | None, predicate: str | None, options: dict) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from tessera.plans.compaction import small_bins
 from tessera.sources import catalog, manifest, storage
-from tessera.sources.manifest import Fragment, Manifest
+from tessera.sources.manifest import ConflictError, Fragment, Manifest
 
 log = logging.getLogger(__name__)
 MODES = ("create", "append", "overwrite")
@@ -100,18 +100,29 @@ def write_files(df: DataFrame, uri: str, min_rows: int, max_rows: int) -> list[F
     return out
 
 
+def shape(schema: T.StructType) -> dict[str, str]:
+    """Names and types; files are read by name, so order and nullability don't matter."""
+    return {f.name: f.dataType.simpleString() for f in schema.fields}
+
+
 def commit_fragments_at(spark: SparkSession, uri: str, mode: str, schema: T.StructType, fragments: list[Fragment], properties: dict | None = None) -> Manifest | None:
-    """One Overwrite or Append; nothing is committed without rows."""
+    """One Overwrite or Append, with `properties` added to the table's; nothing is committed without rows.
+
+    An append to a table whose columns are no longer those of the fragments is a conflict.
+    """
     if not fragments:
         log.warning("nothing was written to %s: no rows", uri)
         return None
 
     def change(head: Manifest | None) -> Manifest:
         if mode == "append":
-            return head.with_new(fragments, keep=True)
-        base = head.with_schema(schema) if head else manifest.empty(schema)
-        made = base.with_new(fragments, keep=False)
-        return manifest.replace(made, indices=(), properties=made.properties | (properties or {}))
+            if head is None or shape(head.schema) != shape(schema):
+                raise ConflictError("the table's columns were changed by another commit")
+            made = head.with_new(fragments, keep=True)
+        else:
+            base = head.with_schema(schema) if head else manifest.empty(schema)
+            made = manifest.replace(base.with_new(fragments, keep=False), indices=())
+        return manifest.replace(made, properties=made.properties | (properties or {}))
 
     return manifest.commit(spark, uri, "Append" if mode == "append" else "Overwrite", change)
 
@@ -130,11 +141,12 @@ def write_table(
     namespace_impl: str | None = None,
     namespace_properties: dict[str, str] | None = None,
     concurrency: int | None = None,
+    properties: dict | None = None,
 ) -> Manifest | None:
     """Write a DataFrame as one new version; None if it has no rows.
 
     `create` and `overwrite` both replace the table's rows; `append` needs an existing table and takes its
-    schema. `data_storage_version` is kept as a property. `concurrency` coalesces to so many tasks.
+    schema. `data_storage_version` is kept as a property, as `properties` are. `concurrency` coalesces to so many tasks.
     """
     from tessera.sources.reader import set_storage
 
@@ -157,8 +169,8 @@ def write_table(
     rows = fitted(df, wanted)
     rows = rows.coalesce(concurrency) if concurrency else rows
     fragments = write_files(rows, location, min_rows_per_file, max_rows_per_file)
-    properties = {"data_storage_version": data_storage_version} if data_storage_version else None
-    return commit_fragments_at(spark, location, mode, rows.schema, fragments, properties)
+    kept = (properties or {}) | ({"data_storage_version": data_storage_version} if data_storage_version else {})
+    return commit_fragments_at(spark, location, mode, rows.schema, fragments, kept)
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

@@ -12,8 +12,8 @@ from tessera.sources.writer import write_table
 def append_stream(stream: DataFrame, uri: str, checkpoint: str, query_id: str = "stream", **trigger: object) -> StreamingQuery:
     """Start a query that appends to the table, made if it isn't there.
 
-    The last batch's number is kept in the table's properties with the commit before it is acknowledged, so
-    that a batch repeated after a failure is left out.
+    The batch's number becomes a property of the table in the append's own commit, so a batch that is repeated
+    after a failure is left out, and a batch is never there without its number.
     """
 
     def save(batch: DataFrame, number: int) -> None:
@@ -22,8 +22,6 @@ def append_stream(stream: DataFrame, uri: str, checkpoint: str, query_id: str =
         key = f"stream.{query_id}"
         if known and manifest.load(spark, uri).properties.get(key, -1) >= number:
             return
-        made = write_table(batch, uri, mode="append" if known else "create")
-        if made:
-            manifest.commit(spark, uri, "Properties", lambda head: manifest.replace(head, properties=head.properties | {key: number}))
+        write_table(batch, uri, mode="append" if known else "create", properties={key: number})
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

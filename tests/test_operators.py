@@ -64,6 +64,14 @@ def test_compaction_materialises_deletions(spark, tmp_path):
         t.compact_files(spark, uri, num_workers=0)
 
 
+def test_compaction_by_few_workers(spark, tmp_path):
+    uri = str(tmp_path / "a")
+    table(spark, uri, 12, 5)
+    assert t.compact_files(spark, uri, compaction_options={"target_rows_per_fragment": 10}, num_workers=2) == t.CompactionMetrics(12, 6)
+    made = t.Table(spark, uri)
+    assert [f.rows for f in made.fragments()] == [10] * 6 and [r.id for r in made.take([0, 11, 59]).collect()] == [0, 11, 59]
+
+
 def test_planning():
     assert placement.array_split([1, 2, 3, 4, 5], 2) == [[1, 2, 3], [4, 5]]
     assert placement.balanced({1: 10, 2: 9, 3: 1}, 2) == [[1], [2, 3]]
@@ -102,6 +110,16 @@ def test_btree_on_a_column_named_like_the_index_has_it(spark, tmp_path):
     assert found.count() == 10 and len(found.inputFiles()) == 1
 
 
+@pytest.mark.parametrize("predicate", ["id IN (SELECT 7)", "array_contains(tags, 3)", "array_contains(tags, id)", "size(tags) = 2 AND id < 30", "id = 7 OR id > 55", "id BETWEEN 3 AND 21", "rand() < 2", "id + 1 = 8", "exists(tags, x -> x = 3)", "NOT id <= 50", "id IS NULL", "cast(id AS string) LIKE '5%'"])
+def test_indexed_columns_take_any_filter(spark, tmp_path, predicate):
+    uri = str(tmp_path / "a")
+    t.write_table(spark.range(0, 60, 1, 1).select("id", F.array(F.col("id") % 5, F.lit(9)).alias("tags")), uri, min_rows_per_file=20, max_rows_per_file=20)
+    plain = sorted(r.id for r in t.read_table(spark, uri, filter=predicate).collect())
+    t.create_scalar_index(spark, uri, column="id", index_type="BTREE")
+    t.create_scalar_index(spark, uri, column="tags", index_type="BTREE")
+    assert sorted(r.id for r in t.read_table(spark, uri, filter=predicate).collect()) == plain
+
+
 def test_index_checks(spark, tmp_path):
     uri = str(tmp_path / "a")
     table(spark, uri)
@@ -109,7 +127,7 @@ def test_index_checks(spark, tmp_path):
     for options, error, match in [
         ({"column": ""}, ValueError, "cannot be empty"), ({"num_workers": 0}, ValueError, "must be positive"), ({"index_type": "NONE"}, ValueError, "must be one of"),
         ({"index_type": "BITMAP"}, ValueError, "supports"), ({"column": "none"}, ValueError, "not found"), ({"column": "id"}, TypeError, "must be string"),
-        ({"fragment_ids": [99]}, ValueError, "do not exist"), ({"fragment_ids": []}, ValueError, "empty"),
+        ({"stemming": True}, ValueError, "stemming"), ({"fragment_ids": [99]}, ValueError, "do not exist"), ({"fragment_ids": []}, ValueError, "empty"),
     ]:
         with pytest.raises(error, match=match):
             build(**options)
@@ -167,6 +185,48 @@ def test_vectors(spark, tmp_path, cloud, kind, metric):
     assert [r.id for r in t.nearest(table, "vector", q.tolist(), 4, nprobes=4, refine_factor=20).collect()] == exact[1:]
 
 
+@pytest.mark.parametrize("change", ["delete", "compact", "append"])
+def test_searches_after_a_change(spark, tmp_path, cloud, change):
+    """An index gives what the scan gives, after fragments went or came."""
+    uri = str(tmp_path / "a")
+    rows = [(i, v.tolist(), f"word{i % 3} common {'x ' * (i % 7)}") for i, v in enumerate(cloud)]
+    whole = spark.createDataFrame(rows, "id long, vector array<float>, text string").orderBy("id").coalesce(1)
+    t.write_table(whole, uri, min_rows_per_file=100, max_rows_per_file=100)
+    t.create_index(spark, uri, "vector", "IVF_FLAT", num_partitions=8)
+    table = t.create_scalar_index(spark, uri, column="text", index_type="FTS", with_position=True)
+    if change == "append":
+        t.write_table(whole.where("id < 50"), uri, mode="append")
+    else:
+        table.delete("id < 210")
+        if change == "compact":
+            t.compact_files(spark, uri)
+    table, q = t.Table(spark, uri), cloud[399].astype(float).tolist()
+    near = lambda **o: [(r.id, round(r["_distance"], 4)) for r in t.nearest(table, "vector", q, 60, columns=["id"], **o).collect()]
+    assert near(nprobes=8) == near(use_index=False) and len(near(nprobes=1)) == 60
+    bare = str(tmp_path / "b")
+    t.write_table(table.to_df(), bare)
+    for query, options in (("word1 x", {}), ("common word2", {"operator": "and"}), ("common x", {"phrase": True})):
+        scores = lambda table: sorted((r.id, round(r["_score"], 9)) for r in t.full_text_search(table, query, column="text", **options).collect())  # noqa: B023, E731
+        assert scores(table) == scores(t.Table(spark, bare)) != []
+        top = t.full_text_search(table, query, column="text", limit=3, **options).collect()
+        assert [round(r["_score"], 9) for r in top] == sorted((s for _, s in scores(table)), reverse=True)[:3]
+
+
+def test_vector_training_is_bounded(spark, tmp_path, cloud, monkeypatch):
+    """Two levels of centroids, a small sample, and a manifest without vectors in it."""
+    from tessera.functions.distance import two_level_kmeans
+    from tessera.operators import vector_index
+
+    monkeypatch.setattr(vector_index, "SAMPLE_BYTES", 100 * 16 * 8)
+    uri = str(tmp_path / "a")
+    t.write_table(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(cloud)], "id long, vector array<float>"), uri)
+    table = t.create_index(spark, uri, "vector", "IVF_PQ", num_partitions=4, num_sub_vectors=4)
+    assert len(table.manifest.dumps()) < 2000 and len(t.nearest(table, "vector", cloud[0].tolist(), 400, nprobes=4).collect()) == 400
+    points = np.random.default_rng(1).standard_normal((6000, 4))
+    made = two_level_kmeans(points, 1100)
+    assert abs(len(made) - 1100) < 60 and np.isfinite(made).all()
+
+
 def test_vector_checks(spark, tmp_path):
     uri = str(tmp_path / "a")
     t.write_table(spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "id long, vector array<float>"), uri)
@@ -190,3 +250,5 @@ def test_stream(spark, tmp_path):
     spark.range(10, 15).write.mode("append").parquet(str(tmp_path / "in"))
     stream()
     assert sorted(r.id for r in t.read_table(spark, str(tmp_path / "t")).collect()) == list(range(15))
+    assert [v["operation"] for v in t.Table(spark, str(tmp_path / "t")).versions()] == ["Overwrite", "Append"]
+    assert t.Table(spark, str(tmp_path / "t")).manifest.properties == {"stream.stream": 1}

@@ -166,6 +166,53 @@ def test_conflicting_commits(spark, people, tmp_path):
     assert stale.version == 1 and t.Table(spark, uri).count_rows() == 9
 
 
+def test_an_append_to_an_overwritten_table_conflicts(spark, people, tmp_path, monkeypatch):
+    from tessera.sources import writer
+
+    uri = str(tmp_path / "a")
+    t.write_table(people, uri)
+    write = writer.write_files
+
+    def late(*args):
+        made = write(*args)
+        monkeypatch.setattr(writer, "write_files", write)
+        t.write_table(spark.range(3).select("id", F.lit("x").alias("other")), uri, mode="overwrite")
+        return made
+
+    monkeypatch.setattr(writer, "write_files", late)
+    with pytest.raises(ConflictError, match="columns"):
+        t.write_table(people, uri, mode="append", data_storage_version="9")
+    assert t.read_table(spark, uri).columns == ["id", "other"] and t.read_table(spark, uri).count() == 3
+    t.write_table(spark.range(1).select("id", F.lit("x").alias("other")), uri, mode="append", data_storage_version="9")
+    assert t.Table(spark, uri).manifest.properties == {"data_storage_version": "9"}
+
+
+def test_scan_options(spark, people, tmp_path):
+    uri = str(tmp_path / "a")
+    t.write_table(people, uri)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    sizes = t.read_table(spark, uri, scanner_options={"batch_size": 2}).coalesce(1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    spark.conf.set(key, before)
+    assert max(r.n for r in sizes) == 2 and sum(r.n for r in sizes) == 5
+    assert t.read_table(spark, uri, override_num_blocks=3).rdd.getNumPartitions() == 3 and t.read_table(spark, uri, concurrency=1).rdd.getNumPartitions() == 1
+    for options in ({"scanner_options": {"prefetch": 1}}, {"concurrency": 0}, {"override_num_blocks": -1}):
+        with pytest.raises(ValueError, match="prefetch|positive"):
+            t.read_table(spark, uri, **options)
+
+
+def test_files_grow_over_batches(spark, tmp_path):
+    """A file holds as many batches as its limits allow."""
+    uri, key = str(tmp_path / "a"), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10")
+    made = t.commit_fragments(spark.range(0, 250, 1, 1).mapInArrow(t.FragmentWriter(uri, max_rows_per_file=100, max_rows_per_group=50), t.FRAGMENT_SCHEMA), uri)
+    small = t.commit_fragments(spark.range(0, 250, 1, 1).mapInArrow(t.FragmentWriter(f"{uri}2", max_bytes_per_file=800), t.FRAGMENT_SCHEMA), f"{uri}2")
+    spark.conf.set(key, before)
+    assert [f.rows for f in made.fragments] == [100, 100, 50] and len(small.fragments) == 3
+    assert sorted(r.id for r in t.read_table(spark, uri).collect()) == list(range(250))
+
+
 def test_a_version_is_created_once(spark, tmp_path):
     assert storage.create_text(spark, f"{tmp_path}/x/1.json", "a")
     assert not storage.create_text(spark, f"{tmp_path}/x/1.json", "b")
@@ -181,7 +228,7 @@ def test_two_phase_write(spark, tmp_path):
     writer = t.FragmentWriter(uri, lambda table: (table.slice(i, 1) for i in range(table.num_rows)), schema="id long, str string, more int")
     t.commit_fragments(df.mapInArrow(writer, t.FRAGMENT_SCHEMA), uri, mode="overwrite")
     got = t.read_table(spark, uri)
-    assert got.columns == ["id", "str", "more"] and got.count() == 10 and len(t.Table(spark, uri).fragments()) == 10
+    assert got.columns == ["id", "str", "more"] and got.count() == 10 and len(t.Table(spark, uri).fragments()) == 2
     t.commit_fragments(df.mapInArrow(t.FragmentWriter(uri, schema="id long, str string, more int", max_rows_per_file=2), t.FRAGMENT_SCHEMA), uri, mode="append")
     assert t.read_table(spark, uri).count() == 20
     assert t.commit_fragments(df.where("id < 0").mapInArrow(t.FragmentWriter(uri), t.FRAGMENT_SCHEMA), str(tmp_path / "b")) is None
