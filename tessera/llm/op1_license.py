@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,57 +74,72 @@ def family(identifier: str) -> str:
     return re.sub(r"^(mpl|epl|lgpl|agpl|cc0|cc-by(?:-nc|-sa|-nd)*)-[\d.]+$", r"\1", name)
 
 
-def to_postfix(expression: str) -> list[str]:
-    """Shunting-yard: the expression's longest well-formed beginning in postfix order."""
-    out: list[str] = []
-    stack: list[str] = []
-    at, operand_next, good = 0, True, []
+def _legal(expression: str) -> list[str]:
+    """The tokens of the expression's longest well-formed beginning; open parentheses at its end are left open."""
+    tokens: list[str] = []
+    at, operand_next, depth, good = 0, True, 0, 0
     while m := _TOKEN.match(expression, at):
         at, token = m.end(), m[1]
-        low = token.lower()
         if token == "(":
             if not operand_next:
                 break
-            stack.append(token)
-            continue
-        if token == ")":
-            if operand_next or "(" not in stack:
+            depth += 1
+        elif operand_next and (token == ")" or token.lower() in _PRECEDENCE):
+            break
+        elif token == ")":
+            if not depth:
                 break
+            depth -= 1
+        elif token.lower() in _PRECEDENCE:
+            operand_next = True
+        elif operand_next:
+            operand_next = False
+        else:
+            break
+        tokens.append(token)
+        if token != "(" and not operand_next:
+            good = len(tokens)
+    return tokens[:good]
+
+
+def to_postfix(expression: str) -> list[str]:
+    """Shunting-yard: the expression's longest well-formed beginning in postfix order, in linear time."""
+    out: list[str] = []
+    stack: list[str] = []
+    for token in _legal(expression):
+        low = token.lower()
+        if token == "(":
+            stack.append(token)
+        elif token == ")":
             while stack[-1] != "(":
                 out.append(stack.pop())
             stack.pop()
         elif low in _PRECEDENCE:
-            if operand_next:
-                break
             while stack and stack[-1] != "(" and _PRECEDENCE[stack[-1]] >= _PRECEDENCE[low]:
                 out.append(stack.pop())
             stack.append(low)
-            operand_next = True
-            continue
         else:
-            if not operand_next:
-                break
             out.append(token)
-            operand_next = False
-        good = out + [x for x in reversed(stack) if x != "("]
-    return good
+    return out + [x for x in reversed(stack) if x != "("]
 
 
 def evaluate(postfix: list[str], freedom: dict[str, float] | None = None) -> tuple[float, list[str]]:
     """(freedom, labels): `or` offers the freer side, `and` binds to both, `with` relaxes its licence."""
     freedom = FREEDOM if freedom is None else freedom
-    stack: list[tuple[float, list[str]]] = []
+    labels: list[str] = []
+    stack: list[tuple[float, int]] = []  # value, and where its labels begin
     for token in postfix:
         if token in _PRECEDENCE and len(stack) >= 2:
-            right, left = stack.pop(), stack.pop()
+            (right, begin), (left, first) = stack.pop(), stack.pop()
             if token == "with":
-                stack.append((min(1.0, left[0] + EXCEPTION_BONUS), left[1]))
+                del labels[begin:]
+                stack.append((min(1.0, left + EXCEPTION_BONUS), first))
             else:
-                stack.append(((max if token == "or" else min)(left[0], right[0]), left[1] + right[1]))
+                stack.append(((max if token == "or" else min)(left, right), first))
         else:
-            label = family(token)
-            stack.append((freedom.get(label, UNKNOWN_FREEDOM), [label]))
-    return (stack[-1][0], stack[-1][1]) if stack else (0.0, [])
+            stack.append((freedom.get(family(token), UNKNOWN_FREEDOM), len(labels)))
+            labels.append(family(token))
+    return (stack[-1][0], labels[stack[-1][1] :]) if stack else (0.0, [])
 
 
 def fold(text: bytes) -> list[bytes]:
@@ -153,37 +169,51 @@ class Scanner:
         for kind, phrases in (("notice", notices), ("base", base), ("tag", {TAG: ""})):
             for phrase, label in phrases.items():
                 key = f" {phrase} "
-                self.automaton.add_word(key.encode().decode("latin-1"), (len(key), kind, label))
+                self.automaton.add_word(key.encode().decode("latin-1"), (len(key), len(phrase.split()), kind, label))
         self.automaton.make_automaton()
 
     def scan(self, text: bytes) -> tuple:
-        words = fold(text)
+        """The fields of FINDINGS, the findings as three lists; linear in the text and its hits."""
+        folded = text.translate(_FOLD)
+        words = folded.split()
         line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        found, score, starts, tagged = [], None, [], False
-        for end, (length, kind, label) in self.automaton.iter(line):
+        labels, kinds, places, score, starts, tagged = [], [], [], None, [], False
+        spaces = last = 0
+        for end, (length, size, kind, label) in self.automaton.iter(line):
             if kind == "tag":
                 tagged = True
                 continue
-            at = line.count(" ", 0, end - length + 1)
-            found.append({"label": label, "kind": kind, "word": at})
+            # Hits come by their end: each piece of the line is counted once. A hit of `size` words has size + 1 spaces.
+            spaces, last = spaces + line.count(" ", last, end + 1), end + 1
+            at = spaces - size - 1
+            labels.append(label)
+            kinds.append(kind)
+            places.append(at)
             score = min(1.0 if score is None else score, self.freedom.get(label, UNKNOWN_FREEDOM))
             if kind == "base":
                 starts.append(at)
         if tagged:
+            inside = np.frombuffer(folded, dtype=np.uint8) != 0x20
+            begins = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
             for m in _EXPRESSION.finditer(text):
-                value, labels = evaluate(to_postfix(m[1].decode("utf-8", "replace")), self.freedom)
-                if labels:
-                    at = len(fold(text[: m.start()]))
-                    found += [{"label": x, "kind": "tag", "word": at} for x in labels]
+                value, found = evaluate(to_postfix(m[1].decode("utf-8", "replace")), self.freedom)
+                if found:
+                    labels += found
+                    kinds += ["tag"] * len(found)
+                    places += [int(np.searchsorted(begins, m.start()))] * len(found)
                     score = min(1.0 if score is None else score, value)
-        join = lambda rows: ",".join(sorted({x["label"] for x in rows}))
-        base = [x for x in found if x["kind"] == "base"]
-        return len(words), len(base), min(starts, default=None), max(starts, default=None), join(base), join(found), score or 0.0, found
+        base = {x for x, kind in zip(labels, kinds, strict=True) if kind == "base"}
+        join = lambda names: ",".join(sorted(names))
+        return len(words), len(starts), min(starts, default=None), max(starts, default=None), join(base), join(set(labels)), score or 0.0, (labels, kinds, places)
 
     def column(self, texts: pa.Array) -> pa.Array:
         rows = [self.scan(t or b"") for t in texts.cast(pa.binary()).to_pylist()]
-        fields = list(zip(*rows, strict=True)) or [[] for _ in FINDINGS]
-        return pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(fields, FINDINGS, strict=True)], fields=list(FINDINGS))
+        *fields, found = list(zip(*rows, strict=True)) or [[] for _ in FINDINGS]
+        offsets = np.cumsum([0, *(len(labels) for labels, _, _ in found)]).astype(np.int32)
+        item = FINDINGS.field("findings").type.value_type
+        parts = [pa.array([x for row in found for x in row[k]], item.field(k).type) for k in range(3)]
+        listed = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(parts, fields=list(item)))
+        return pa.StructArray.from_arrays([*(pa.array(v, f.type) for v, f in zip(fields, FINDINGS, strict=False)), listed], fields=list(FINDINGS))
 
 
 def findings(text: Column, base: dict[str, str] | None = None, notices: dict[str, str] | None = None, freedom: dict[str, float] | None = None) -> Column:

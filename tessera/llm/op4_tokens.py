@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from tessera.llm.bytetext import SPACE, Chunk, chunks
 from tessera.llm.runtime import read, row_wise
 
+#: The vocabulary file of the query, on the driver; the session setting VOCABULARY_KEY names another.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+VOCABULARY_KEY = "spark.tessera.vocabulary"
 #: The character that public piece vocabularies put before pieces that begin a word.
 MARK = "▁"
 LONG = 256
@@ -93,7 +95,10 @@ class Automaton:
                 state[r, c], pops[r, c] = (row[u], 0) if children[u] else (link[u], popped[u])
                 if children[u]:
                     queue.append(u)
-        self.table = (state << 8 | pops).ravel()
+        # A transition holds its state above the tokens popped, which take as many bits as the vocabulary's longest split needs.
+        self.bits = max(1, int(pops.max()).bit_length())
+        wide = int(state.max()).bit_length() + self.bits > 31
+        self.table = (state.astype(np.int64 if wide else np.int32) << self.bits | pops).ravel()
         self.end = end
         self.begin = int(self.table[self.classes[256]]) if self.classes[256] else 0
 
@@ -104,20 +109,21 @@ class Automaton:
         order = np.argsort(-size, kind="stable")
         start, size = words.start[order], size[order]
         symbols = self.classes[chunk.data]
-        state = np.full(len(order), self.begin >> 8, dtype=np.int32)
-        tokens = np.full(len(order), self.begin & 255, dtype=np.int64)
+        popped = (1 << self.bits) - 1
+        state = np.full(len(order), self.begin >> self.bits, dtype=np.int64)
+        tokens = np.full(len(order), self.begin & popped, dtype=np.int64)
         longest = min(int(size[0]), LONG) if len(size) else 0
         active = np.searchsorted(-size, -np.arange(longest), side="left")
         for j in range(longest):
             part = slice(0, active[j])
             step = self.table[state[part] * self.width + symbols[start[part] + j]]
-            state[part] = step >> 8
-            tokens[part] += step & 255
+            state[part] = step >> self.bits
+            tokens[part] += step & popped
         for i in range(int(np.searchsorted(-size, -LONG, side="left"))):
             at, total = int(state[i]), int(tokens[i])
             for c in symbols[start[i] + LONG : start[i] + size[i]].tolist():
                 step = int(self.table[at * self.width + c])
-                at, total = step >> 8, total + (step & 255)
+                at, total = step >> self.bits, total + (step & popped)
                 if at == 1:
                     break
             state[i], tokens[i] = at, total
@@ -154,8 +160,9 @@ def built(pieces: list[str]) -> Automaton:
     return _built[key]
 
 
-def op4_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABULARY) -> DataFrame:
+def op4_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     """One row per document: words, word-piece tokens and unknown words."""
+    vocabulary = vocabulary or spark.conf.get(VOCABULARY_KEY, VOCABULARY)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return count(docs, load_pieces(vocabulary)).select("doc_id", "tokens.*")
 

@@ -26,7 +26,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    """The SQL of op4 has the vocabulary's pieces in it, so it needs the file that its query needs."""
     found = {"op2_url_filter": op2_urls.oracle(), "op3_quality_rules": op3_quality.ORACLE, "op10_mixing": op10_mixing.ORACLE}
-    if os.path.exists(op4_tokens.VOCABULARY):
-        found["op4_token_counts"] = op4_tokens.oracle()
-    return found
+    return found | ({"op4_token_counts": op4_tokens.oracle()} if os.path.exists(op4_tokens.VOCABULARY) else {})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,19 @@ def test_license_tags(spark):
     assert x.labels == "cc-by-nc,mit,proprietary" and x.score == 0.0 and {f.kind for f in x.findings} == {"base", "tag", "notice"}
 
 
+def test_license_scans_are_linear():
+    """Hits, tags and expressions of a long text don't look at its beginning again."""
+    scanner = op1_license.Scanner(op1_license.BASE_PHRASES, op1_license.NOTICE_PHRASES, op1_license.FREEDOM)
+    began = time.process_time()
+    n = 150_000
+    got = scanner.scan(b"cc by nc, " * n)
+    assert got[:4] == (3 * n, n, 0, 3 * n - 3)
+    tags = scanner.scan(b"x SPDX-License-Identifier: MIT\n" * 20_000)
+    assert tags[5] == "mit" and tags[7][2][:2] == [1, 6]
+    assert len(op1_license.evaluate(op1_license.to_postfix("(" * n + "MIT or " * n))[1]) == n
+    assert time.process_time() - began < 30
+
+
 def brute_url(url):
     m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
     host, path = (m[1].translate(FOLD), m[2]) if m else ("", "")
@@ -167,6 +181,10 @@ def test_tokens_against_brute_force(spark, odd):
         automaton = op4_tokens.Automaton(pieces)
         got = [row for chunk in chunks(pa.array(texts)) for row in zip(*(v.tolist() for v in automaton.lengths(chunk)), strict=True)]
         assert got == [brute_tokens(pieces, x) for x in texts]
+    deep = ["a", "c", op4_tokens.MARK, "a" * 258 + "b"]
+    texts = ["a" * n + "c" for n in (1, 257, 258, 600)]
+    found = op4_tokens.Automaton(deep).lengths(next(chunks(pa.array(texts))))
+    assert list(zip(*(v.tolist() for v in found), strict=True)) == [brute_tokens(deep, x) for x in texts]
     pieces = op4_tokens.load_pieces()
     for r in op4_tokens.count(odd, pieces).collect():
         assert tuple(r.tokens) == brute_tokens(pieces, r.text if r.doc_id != 6 else "") or r.doc_id == 6
