@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,13 +25,17 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of this application in the one the cluster names in spark.checkpoint.dir; a temporary one only where none is set.
+    """A folder of this application in the one the cluster names in spark.checkpoint.dir.
 
-    It is removed when the driver's Python ends.
+    Where none is set, a temporary one serves a local master; elsewhere that is an error, as executors would not see
+    each other's files. The folder is removed when the driver's Python ends.
     """
     application = spark.sparkContext.applicationId
     if application not in _own_folders:
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="checkpoints-")
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not root and not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = root or tempfile.mkdtemp(prefix="checkpoints-")
         _own_folders[application] = f"{root.rstrip('/')}/cuts-{application}"
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folders[application])
         atexit.register(_remove, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path)
@@ -50,7 +55,22 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _paths[id(made)] = path
+    weakref.finalize(made, _paths.pop, id(made), None)
+    return made
+
+
+_paths: dict[int, str] = {}
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove tables that `cut` made and nothing reads any more."""
+    for table in tables:
+        if path := _paths.pop(id(table), None):
+            spark = table.sparkSession
+            there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            _remove(there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), there)
 
 
 #: Rows of an Arrow batch at most: with long texts, Spark's default of 10,000 rows is hundreds of MB in each Python worker.

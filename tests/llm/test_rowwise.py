@@ -116,6 +116,96 @@ def test_urls_against_brute_force(spark):
     assert op2_urls.judge(df.limit(0)).count() == 0
 
 
+def test_url_columns_that_clash(spark):
+    """Columns of the names that are added are replaced, all others pass."""
+    names = [*op2_urls.ADDED, "url_skeleton", "url_rejected", "tree_found", "host"]
+    df = spark.createDataFrame([(1, "http://a.com/en/1", *("x" for _ in names))], f"page_id long, url string, {', '.join(f'{n} string' for n in names)}")
+    got = op2_urls.judge(df)
+    assert set(got.columns) == set(df.columns) and len(got.columns) == len(df.columns)
+    assert got.first().url_host == "a.com" and got.first().tree_found == "x"
+    assert op2_urls.judge(df, url="url_host").first().url_verdict == "allow"
+
+
+def brute_templates(rows):
+    """{(host, path's skeleton): (template, purity)} by a walk of each host's tree in memory."""
+    mark = lambda s: "<x>" if re.fullmatch(r"[0-9a-fA-F-]{8,}", s) and re.search(r"\d", s) and re.search(r"[a-fA-F-]", s) else re.sub(r"[0-9]+", "<n>", s)
+    tree = {}
+    for host, path, label in rows:
+        parts = path.split("/", op2_urls.DEPTH + 1)
+        cell = tree.setdefault((host, tuple(map(mark, parts))), [0, 0, 0])
+        cell[0] += 1
+        cell[1] += label == 1
+        cell[2] += label is not None
+    name = {key: key[1] for key in tree}
+    nodes = lambda k: {(h, t[:k]) for (h, _), t in name.items() if len(t) > k}
+
+    def star(h, node, segments, k):
+        for key, t in name.items():
+            if key[0] == h and len(t) > k and t[:k] == node and t[k] in segments:
+                name[key] = (*t[:k], "*", *t[k + 1 :])
+
+    for k in range(1, op2_urls.DEPTH + 2):
+        for h, node in nodes(k):
+            kids = {}
+            for key, t in name.items():
+                if key[0] == h and len(t) > k and t[:k] == node:
+                    kids[t[k]] = kids.get(t[k], 0) + tree[key][0]
+            if len(kids) > op2_urls.FANOUT:
+                star(h, node, {s for s, n in kids.items() if n < op2_urls.SHARE * sum(kids.values())}, k)
+    for k in range(op2_urls.DEPTH + 1, 0, -1):
+        for h, node in nodes(k):
+            kids, sums = {}, {}
+            for key, t in name.items():
+                if key[0] == h and len(t) > k and t[:k] == node:
+                    below = kids.setdefault(t[k], {})
+                    below[t[k + 1 :]] = below.get(t[k + 1 :], 0) + tree[key][0]
+                    sums[t[k]] = [x + y for x, y in zip(sums.get(t[k], [0, 0, 0]), tree[key], strict=True)]
+            total = [sum(v) for v in zip(*sums.values(), strict=True)]
+            shapes = {x for below in kids.values() for x in below}
+            good = set()
+            for s, (n, b, l) in sums.items():
+                rest, rest_b, rest_l = total[0] - n, total[1] - b, total[2] - l
+                if not rest or n < op2_urls.MIN_URLS:
+                    continue
+                apart = 0.0
+                for x in shapes:
+                    mine, others = kids[s].get(x, 0), sum(v.get(x, 0) for o, v in kids.items() if o != s)
+                    apart += (mine * (rest / n) ** 0.5 - others * (n / rest) ** 0.5) ** 2 / (mine + others)
+                p = total[1] / total[2] if total[2] else 0
+                agree = not l or not rest_l or abs(b / l - rest_b / rest_l) <= op2_urls.Z * (p * (1 - p) * (1 / l + 1 / rest_l)) ** 0.5 + 1e-9
+                if agree and apart <= len(shapes) - 1 + op2_urls.Z * (2 * (len(shapes) - 1)) ** 0.5 + 1e-9:
+                    good.add(s)
+            if len(good) > 1:
+                star(h, node, good, k)
+    whole = [sum(v) for v in zip(*tree.values(), strict=True)]
+    rate = whole[1] / whole[2] if whole[2] else 0.0
+    sums = {}
+    for key, t in name.items():
+        at = sums.setdefault((key[0], t), [0, 0, 0])
+        for i in range(3):
+            at[i] += tree[key][i]
+    out = {}
+    for key, t in name.items():
+        n, b, l = sums[key[0], t]
+        strength = op2_urls.STRENGTH + op2_urls.UNKNOWN * (n - l)
+        out[key] = ("/".join(t), round((b + strength * rate) / (l + strength), 9))
+    return out
+
+
+@pytest.mark.parametrize("seed", [21, 22])
+def test_url_templates_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for i in range(1200):
+        host = rng.choice(["a", "b", "b", "c"])
+        first = rng.choice(["en", "fr", "de", "blog", "s" + rng.choice("abcdefghijklmnop")])
+        path = "/" + "/".join([first, *(rng.choice([str(i), f"{i}.html", "x", "deadbeef1", "list", rng.choice("uvwxyz")]) for _ in range(rng.choice([0, 1, 1, 2, 3, 8])))])
+        rows.append((host, path, rng.choice([1, 1, 1, 0]) if first in ("en", "blog") and host != "c" else rng.choice([None, None, 0]) if first == "de" else None))
+    df = spark.createDataFrame(rows, "host string, path string, label int").select("host", op2_urls.skeleton(F.col("path")).alias("skeleton"), "label")
+    got = {(r.host, tuple(r.skeleton)): (r.template, round(r.purity, 9)) for r in op2_urls.templates(df).collect()}
+    assert got == brute_templates(rows) and sum("*" in t for t, _ in got.values()) > 10
+
+
 def test_url_templates(spark):
     rows = [("h", f"/shop/item{i}/{i}", 1 if i % 9 else 0) for i in range(200)] + [("h", f"/about/{w}", 0) for w in "abc"] + [("h", f"/user/{chr(97 + i % 26)}{chr(97 + i // 26)}/x", None) for i in range(100)]
     df = spark.createDataFrame(rows, "host string, path string, label int").select("host", op2_urls.skeleton(F.col("path")).alias("skeleton"), "label")
@@ -124,6 +214,18 @@ def test_url_templates(spark):
     assert all(got[f"/about/{w}"].purity < op2_urls.PURITY for w in "abc")
 
 
+def test_url_tree_reaches_urls_without_a_rule(spark, monkeypatch):
+    """Branches without labels join labelled ones of their shape; without the tree these urls would pass."""
+    urls = [f"http://bad.com/{lang}/{i}{end}" for i in range(60) for lang in ("en", "en", "fr") for end in ("", "/")] + [f"http://bad.com/shop/{w}/list" for w in "abcdefghij"]
+    urls += [f"http://good.net/{lang}/{i}" for i in range(40) for lang in ("de", "fr")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    said = lambda: {(r.url_rule, r.url_path.split("/")[1], r.url_verdict) for r in op2_urls.judge(df).collect()}
+    got = said()
+    assert (None, "fr", "block") in got and (None, "shop", "allow") in got and (None, "fr", "allow") in got and (None, "shop", "block") not in got
+    monkeypatch.setattr(op2_urls, "_similar", lambda branch: branch.where("false"))
+    assert (None, "fr", "block") not in said()
+
+
 def brute_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
