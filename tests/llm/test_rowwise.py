@@ -255,11 +255,41 @@ def test_quality_order_does_not_change_the_verdict(spark, corpus):
     docs = corpus[0].select("doc_id", "text")
     measured = op3_quality.measure(docs, "text", op3_quality.RULES)
     assert sorted(m["rule"] for m in measured) == sorted(r.name for r in op3_quality.RULES)
-    assert [m["rank"] for m in measured] == sorted((m["rank"] for m in measured), reverse=True)
+    known = op3_quality.measure(docs, "text", op3_quality.RULES, {*op3_quality.BASE, "n_lines"})
+    assert all((m["cost"] == op3_quality.TEST) == (m["rule"] not in ("shouting", "exclaiming")) for m in known)
     one, other = (sorted(ROW(r) for r in op3_quality.apply(docs, rules=rules).collect()) for rules in (op3_quality.RULES, op3_quality.RULES[::-1]))
     assert one == other
 
 
+def test_quality_cascade_evaluates_what_is_left(spark, odd, monkeypatch):
+    """A rule's statistics are null, so not computed, for rows that an earlier rule rejected; rules that would fail on them don't see them."""
+    texts = ["a " * 60, "word " * 20, "# " * 80, " ".join(f"w{i}" for i in range(80))]
+    df = spark.createDataFrame([(100 + i, x) for i, x in enumerate(texts)], "doc_id long, text string").union(odd.select("doc_id", "text"))
+    rules = [r for r in (*op3_quality.base_rules(), *op3_quality.RULES)]
+    steps = op3_quality.cascade(df, rules, "text", "q_", "q_kept", set()).collect()
+    for r in steps:
+        short = len((r.text or "").split()) < 50
+        assert (r.q_n_repeat_words is None) == short and (not short or r.q_n_symbols is None)
+        assert (r.q_n_bangs is not None) >= r.q_kept
+    seen = op3_quality.Rule("last", ("n_words",), lambda c: F.when(c("n_words") < 50, F.raise_error(F.lit("evaluated"))).otherwise(False).cast("boolean"))
+    monkeypatch.setattr(op3_quality, "ordered", lambda docs, text, rules, known=(): [*(r for r in rules if r.name != "last"), *(r for r in rules if r.name == "last")])
+    kept = op3_quality.kept_only(df, rules=[*op3_quality.RULES, seen])
+    assert sorted(map(ROW, kept.collect())) == sorted(ROW((r.doc_id, r.text)) for r in op3_quality.apply(df).collect() if r.q_kept) and kept.count() >= 1
+    assert kept.columns == ["doc_id", "text"]
+
+
+def test_quality_measures_costs(spark):
+    """A rule that takes far more work costs more, whatever the jobs' own time; of two that reject as many the cheap one goes first."""
+    docs = spark.createDataFrame([(" ".join(f"w{i}" for i in range(2000)),)] * 60, "text string").repartition(3)
+    got = {m["rule"]: m for m in op3_quality.measure(docs, "text", op3_quality.RULES)}
+    costs = {name: op3_quality._cost(docs, name) for name in ("n_repeat_words", "n_bangs")}
+    assert costs["n_repeat_words"] > 2 * costs["n_bangs"]
+    all_of = lambda name, need: op3_quality.Rule(name, (need,), lambda c: c(need) >= 0)
+    order = op3_quality.measure(docs, "text", [all_of("dear", "n_repeat_words"), all_of("late", "n_bangs")])
+    assert [m["rule"] for m in order] == ["late", "dear"] and len(got) == len(op3_quality.RULES)
+    assert op3_quality.measure(docs.limit(0), "text", op3_quality.RULES) == []
+
+
 def brute_tokens(pieces, text):
     known, tokens, unknown = set(pieces), 0, 0
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
