@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import op3_quality, op6_neardup, op7_decontaminate, op9_toxicity, op10_mixing
-from tessera.llm.runtime import cut, kept_only, read, unused
+from tessera.llm.runtime import cut, read, unused
 
 #: SQL can't express the model, signature and matching stages; tests hold each against a brute-force version.
 ORACLE_SQL = None
@@ -21,10 +21,8 @@ def _columns(docs: DataFrame) -> list:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base limits and the rule cascade."""
-    prefix = unused(docs, "q_")
-    judged = op3_quality.apply(docs, prefix=prefix)
-    return kept_only(judged, F.col(f"{prefix}kept")).select(*_columns(docs))
+    """Documents that pass the base limits and the rule cascade; null and empty texts go."""
+    return op3_quality.kept_only(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
