@@ -5,14 +5,15 @@ are embedded; filters of several widths slide over a window; the largest respons
 goes through a softmax layer. A text's language has the highest mean log-probability over its
 windows, weighted by their bytes; its score is the mean probability.
 
-Training draws documents by a hash of the id (about PER_LANGUAGE for each language, from rows that are not
-held out) and up to WINDOWS_EACH windows of each. For prediction the filters are folded into tables
+Training draws about PER_LANGUAGE windows of each language by a hash, evenly from all windows of all labelled rows
+that are not held out; this bound is a parameter. For prediction the filters are folded into tables
 indexed by byte pairs, so a convolution of width 4 is two lookups and one addition; windows lie
 side by side in time-major order. The pass over the table needs no shuffle.
 
 Edge cases: a null text, and a text without letters, is `und` with score 0; without any labelled row
 every row is `und`; one language only is predicted with score 1; repeated rows are judged each on
-its own; a null doc_id is not held out and is learnt from; further columns pass through `predict`.
+its own; a null doc_id is not held out and is learnt from; further columns pass through `predict`. The
+network has an output for each lang value, so their number must fit a driver's memory.
 """
 
 from __future__ import annotations
@@ -25,14 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import Chunk, chunks
-from tessera.llm.runtime import arrow_map, read, row_wise, unit_hash
+from tessera.llm.runtime import arrow_map, by_ids, cut, drop, read, row_wise
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-PER_LANGUAGE = 1200
-WINDOWS_EACH = 3
+PER_LANGUAGE = 3600
 STEPS = 500
 BATCH = 96
 SEED = 42
@@ -95,8 +95,41 @@ class Network:
         return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
 
 
+def gradients(params: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The mean cross-entropy of time-major windows and its gradients; they flow through the pooled places only."""
+    n_w, size = len(WIDTHS), len(y)
+    embedded = params[0][x]
+    pooled, places = [], []
+    for i, w in enumerate(WIDTHS):
+        span = len(x) - w + 1
+        response = sum(embedded[k : k + span] @ params[1 + i][k] for k in range(w))
+        best = response.argmax(axis=0)
+        places.append(best)
+        pooled.append(np.take_along_axis(response, best[None], axis=0)[0] + params[1 + n_w + i])
+    hidden = np.concatenate(pooled, axis=1)
+    active = np.maximum(hidden, 0)
+    logits = active @ params[-2] + params[-1]
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    loss = -np.log(p[np.arange(size), y]).mean()
+    p[np.arange(size), y] -= 1
+    p /= size
+    grads = [np.zeros_like(q) for q in params]
+    grads[-2], grads[-1] = active.T @ p, p.sum(axis=0)
+    back = (p @ params[-2].T) * (hidden > 0)
+    rows = np.arange(size)[:, None]
+    for i, w in enumerate(WIDTHS):
+        g = back[:, i * FILTERS : (i + 1) * FILTERS]
+        grads[1 + n_w + i] = g.sum(axis=0)
+        for k in range(w):
+            at = places[i] + k
+            grads[1 + i][k] = np.einsum("bf,bfe->ef", g, embedded[at, rows])
+            np.add.at(grads[0], x[at, rows], g[:, :, None] * params[1 + i][k].T[None])
+    return loss, grads
+
+
 def train(data: np.ndarray, labels: np.ndarray, languages: list[str], seed: int = SEED) -> Network:
-    """Adam on the cross-entropy of windows (time-major bytes); gradients flow through the pooled places only."""
+    """Adam on the cross-entropy of windows (time-major bytes)."""
     rng = np.random.default_rng(seed)
     n_out = len(languages)
     shapes = [(256, EMBEDDING)] + [(w, EMBEDDING, FILTERS) for w in WIDTHS] + [(FILTERS,)] * len(WIDTHS) + [(FILTERS * len(WIDTHS), n_out), (n_out,)]
@@ -109,33 +142,7 @@ def train(data: np.ndarray, labels: np.ndarray, languages: list[str], seed: int
     weight /= weight.sum()
     for step in range(1, STEPS + 1):
         pick = rng.choice(len(labels), size=BATCH, p=weight)
-        x, y = data[:, pick], labels[pick]
-        embedded = params[0][x]
-        pooled, places = [], []
-        for i, w in enumerate(WIDTHS):
-            span = len(x) - w + 1
-            response = sum(embedded[k : k + span] @ params[1 + i][k] for k in range(w))
-            best = response.argmax(axis=0)
-            places.append(best)
-            pooled.append(np.take_along_axis(response, best[None], axis=0)[0] + params[1 + n_w + i])
-        hidden = np.concatenate(pooled, axis=1)
-        active = np.maximum(hidden, 0)
-        logits = active @ params[-2] + params[-1]
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(BATCH), y] -= 1
-        p /= BATCH
-        grads = [np.zeros_like(q) for q in params]
-        grads[-2], grads[-1] = active.T @ p, p.sum(axis=0)
-        back = (p @ params[-2].T) * (hidden > 0)
-        rows = np.arange(BATCH)[:, None]
-        for i, w in enumerate(WIDTHS):
-            g = back[:, i * FILTERS : (i + 1) * FILTERS]
-            grads[1 + n_w + i] = g.sum(axis=0)
-            for k in range(w):
-                at = places[i] + k
-                grads[1 + i][k] = np.einsum("bf,bfe->ef", g, embedded[at, rows])
-                np.add.at(grads[0], x[at, rows], g[:, :, None] * params[1 + i][k].T[None])
+        _, grads = gradients(params, data[:, pick], labels[pick])
         for q, g, a, b in zip(params, grads, first, second, strict=True):
             a += 0.1 * (g - a)
             b += 0.001 * (g * g - b)
@@ -144,30 +151,29 @@ def train(data: np.ndarray, labels: np.ndarray, languages: list[str], seed: int
 
 
 def training_windows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows of a sample of rows (doc_id, text, lang): bounded by the number of languages, not by the table."""
-    known = docs.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
-        return np.zeros((WINDOW, 0), np.uint8), np.zeros(0, np.int64), []
-    keep = F.lit(0.0)
-    for lang, n in counts.items():
-        keep = F.when(F.col("lang") == lang, min(1.0, per_language / n)).otherwise(keep)
-    sample = known.where((unit_hash("doc_id", "text") < keep) & F.col("text").rlike(r"\p{L}")).select("text", "lang")
+    """A sample of all windows of all rows (doc_id, text, lang): bounded by the number of languages, not by the table."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("n", F.ceil(F.octet_length("text") / WINDOW).cast("int"))
+    totals = cut(known.groupBy("lang").agg(F.sum("n").alias("total")))
+    drawn = lambda i: F.xxhash64("key", i).bitwiseAND((1 << 53) - 1) < F.col("keep") * float(1 << 53)
+    shares = totals.select("lang", (F.lit(float(per_language)) / F.col("total")).alias("keep"))
+    keyed = by_ids(known.withColumn("key", F.xxhash64("doc_id", "text")), shares, "lang", "inner")
+    sample = keyed.select("text", "lang", F.filter(F.sequence(F.lit(0), F.col("n") - 1), drawn).alias("drawn")).where(F.size("drawn") > 0)
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
+            drawn = batch.column("drawn")
             for chunk in chunks(batch.column("text"), CHUNK, CHUNK_TEXTS):
                 data, doc, _ = windows(chunk)
-                total = np.bincount(doc, minlength=chunk.rows)
-                nth = np.arange(len(doc)) - np.repeat(np.cumsum(total) - total, total)
-                # Windows spread evenly over the text.
-                wanted = (nth * WINDOWS_EACH) // np.maximum(total[doc], 1) != ((nth - 1) * WINDOWS_EACH) // np.maximum(total[doc], 1)
-                use = np.flatnonzero(wanted | (nth == 0))
-                held = [data[:, i].tobytes() for i in use]
-                langs = batch.column("lang").take(pa.array(doc[use] + chunk.first))
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()), langs], ["bytes", "lang"])
+                first = np.searchsorted(doc, np.arange(chunk.rows))
+                rows = drawn[chunk.first : chunk.first + chunk.rows]
+                each = rows.value_lengths().to_numpy()
+                of = np.repeat(np.arange(chunk.rows), each)
+                use = first[of] + rows.flatten().to_numpy()
+                langs = batch.column("lang").take(pa.array(of + chunk.first))
+                yield pa.RecordBatch.from_arrays([pa.array([data[:, i].tobytes() for i in use], pa.binary()), langs], ["bytes", "lang"])
 
     found = arrow_map(sample, run, "bytes binary, lang string").toArrow().to_pydict()
+    drop(totals)
     pairs = sorted(zip(found["lang"], found["bytes"], strict=True))
     languages = sorted({lang for lang, _ in pairs})
     data = np.frombuffer(b"".join(b for _, b in pairs), dtype=np.uint8).reshape(-1, WINDOW).T

@@ -336,6 +336,42 @@ def test_language(spark, corpus, odd, nothing):
     assert op5_language.predict(nothing, network).count() == 0
 
 
+def test_language_gradients():
+    """The loss against a plain network, and its gradients against differences."""
+    rng = np.random.default_rng(4)
+    shapes = [(256, 8), *((w, 8, 16) for w in op5_language.WIDTHS), *[(16,)] * 3, (48, 3), (3,)]
+    params = [rng.standard_normal(s) * 0.5 for s in shapes]
+    x, y = rng.integers(97, 105, (20, 6)).astype(np.uint8), rng.integers(0, 3, 6)
+    loss, grads = op5_language.gradients(params, x, y)
+    plain = 0.0
+    for i in range(6):
+        pooled = np.concatenate([np.maximum(np.max([sum(params[0][x[t + k, i]] @ params[1 + j][k] for k in range(w)) for t in range(21 - w)], axis=0) + params[4 + j], 0) for j, w in enumerate(op5_language.WIDTHS)])
+        logits = pooled @ params[-2] + params[-1]
+        plain -= logits[y[i]] - np.log(np.exp(logits).sum())
+    assert abs(loss - plain / 6) < 1e-9
+    for k, p in enumerate(params):
+        for _ in range(15):
+            at = tuple(rng.integers(0, n) for n in p.shape) if k else (rng.integers(97, 105), rng.integers(0, 8))
+            held = p[at]
+            ends = []
+            for step in (1e-6, -1e-6):
+                p[at] = held + step
+                ends.append(op5_language.gradients(params, x, y)[0])
+            p[at] = held
+            assert abs(grads[k][at] - (ends[0] - ends[1]) / 2e-6) < 1e-5
+
+
+def test_language_sample_covers_all_windows(spark):
+    """Windows come from every part of every labelled row, about as many a language as asked for."""
+    text = lambda k: "".join(f"{k}{i:04d}" + "abcdefghi " * 26 for i in range(300))
+    docs = spark.createDataFrame([(k, text(k), "long") for k in range(3)] + [(100 + i, f"short text {i}", "few") for i in range(50)] + [(200, "123", "none"), (201, None, "none"), (202, "abc", None)], "doc_id long, text string, lang string")
+    data, labels, languages = op5_language.training_windows(docs, 200)
+    assert languages == ["few", "long"] and (labels == 0).sum() == 50 and 150 < (labels == 1).sum() < 250
+    whole = [t.encode() for t in map(text, range(3))]
+    at = sorted(max(w.find(data[:, i].tobytes().rstrip(b"\0")) for w in whole) for i in np.flatnonzero(labels == 1))
+    assert at[0] < 8000 and at[-1] > 70_000 and len(set(at)) > 100
+
+
 def test_folded_network_equals_plain_convolution():
     rng = np.random.default_rng(0)
     network = op5_language.train(rng.integers(0, 256, (op5_language.WINDOW, 40)).astype(np.uint8), np.arange(40) % 2, ["a", "b"])
@@ -362,13 +398,53 @@ def test_toxicity(spark, corpus, odd, nothing):
 def test_toxicity_orders_grades():
     rng = np.random.default_rng(1)
     grades = rng.integers(0, 3, 600)
-    rows = [np.array(sorted({1} | {10 + k for k in range(g)}), dtype=np.int32) for g in grades]
-    model = op9_toxicity.fit(rows, grades, np.ones(600))
-    severity, grade = model.judge(np.array([model.weights[r].sum() for r in rows]))
+    rows = [np.array([0, *range(1, g + 1)]) for g in grades]
+    kept = np.array([1, 10, 11])
+    model = op9_toxicity.fit(kept, rows, grades, np.ones(600))
+    severity, grade = model.judge(np.array([model.weights[kept[r]].sum() for r in rows]))
     assert (np.diff(model.thresholds) > 0).all() and (grade == grades).all()
     assert [severity[grades == g].mean() for g in range(3)] == sorted(severity[grades == g].mean() for g in range(3))
 
 
+def test_toxicity_gradients():
+    """The likelihood against a plain sum over rows, and its gradients against differences."""
+    rng = np.random.default_rng(2)
+    grades, w, theta, weights = rng.integers(0, 4, 40), rng.normal(size=5), np.array([-0.5, -0.2, 0.3]), rng.random(40)
+    rows = [np.flatnonzero(rng.random(5) < 0.5) for _ in grades]
+    args = (np.repeat(np.arange(40), [len(r) for r in rows]), np.concatenate(rows), grades, weights)
+    t = [-np.inf, -0.5, -0.5 + np.exp(-0.2), -0.5 + np.exp(-0.2) + np.exp(0.3), np.inf]
+    cdf = lambda x: 1 / (1 + np.exp(-x))
+    plain = -sum(q * np.log(cdf(t[g + 1] - w[r].sum()) - cdf(t[g] - w[r].sum())) for r, g, q in zip(rows, grades, weights, strict=True)) + op9_toxicity.L2 / 5 * (w**2).sum() / 2
+    value, grad_w, grad_theta = op9_toxicity.likelihood(w, theta, *args)
+    assert abs(value - plain) < 1e-9
+    numeric = lambda x, f: [(f(x + e) - f(x - e)) / 2e-6 for e in 1e-6 * np.eye(len(x))]
+    assert np.allclose(grad_w, numeric(w, lambda x: op9_toxicity.likelihood(x, theta, *args)[0]), atol=1e-6)
+    assert np.allclose(grad_theta, numeric(theta, lambda x: op9_toxicity.likelihood(w, x, *args)[0]), atol=1e-6)
+
+
+def test_toxicity_sample(spark, monkeypatch):
+    """One id on many rows, and copies of a text with different grades, teach once; the screen takes the strongest features."""
+    docs = spark.createDataFrame([(1, f"row {i}") for i in range(500)] + [(2, "same"), (3, "same"), (4, None), (4, "four")], "doc_id long, text string")
+    grades = spark.createDataFrame([(1, 0), (2, 0), (3, 2), (4, 1), (9, 1)], "doc_id long, grade int")
+    table, counts = op9_toxicity.taught(docs, grades, "text", 100)
+    got = sorted((r.grade, r.text) for r in table.collect())
+    assert len(got) == 3 and got[1:] == [(1, "four"), (2, "same")] and got[0][1].startswith("row ") and counts == {0: 2, 1: 2, 2: 1}
+    again, _ = op9_toxicity.taught(docs.repartition(5), grades, "text", 100)
+    assert sorted((r.grade, r.text) for r in again.collect()) == got
+    rng = np.random.default_rng(3)
+    held = rng.random((3, 300, 40)) < np.array([0.2, 0.3, 0.9])[:, None, None] * (np.arange(40) < 3) + 0.1
+    counts, rows = held.sum(axis=1).astype(float), np.full(3, 300)
+    grade, weight = np.repeat(np.arange(3), 300), np.repeat([1.0, 2.0, 0.5], 300)
+    weight = weight / weight.sum()
+    residual = grade - (grade * weight).sum()
+    flat = held.reshape(900, 40)
+    z = [abs((residual * weight)[flat[:, f]].sum()) / np.sqrt((residual**2 * weight).sum() * (weight[flat[:, f]] ** 2).sum()) for f in range(40)]
+    want = [f for f in np.argsort(-np.array(z), kind="stable") if z[f] > op9_toxicity.MIN_Z and counts.sum(axis=0)[f] >= op9_toxicity.MIN_ROWS]
+    assert op9_toxicity.screened(counts, rows, np.array([1.0, 2.0, 0.5])).tolist() == want and {0, 1, 2} <= set(want)
+    monkeypatch.setattr(op9_toxicity, "SCREENED", 2)
+    assert op9_toxicity.screened(counts, rows, np.array([1.0, 2.0, 0.5])).tolist() == want[:2]
+
+
 def test_lm_scores_against_brute_force(spark, corpus, odd, nothing):
     docs, _ = corpus
     network, lexicon = op8_lm.fit(docs)
