@@ -6,8 +6,11 @@ one of them stands in the passage unchanged: an automaton over all pieces finds
 scan of a text. Around each, a q-gram count (necessary for e edits) and then Myers' bit-parallel
 distance decide; the bit vectors of a whole item are single Python integers.
 
-Items come to the executors in blocks of at most BLOCK_BYTES of text, one scan a block, so what is
-held in memory has a fixed bound whatever the benchmark's size. No shuffle.
+A benchmark of at most BLOCK_BYTES of text is one block: it travels with the function, and a text is scanned
+where it is read, without a shuffle. A larger one is cut into such blocks, which are scanned one after another, each
+by a job of its own over the texts' keys and hits: the driver, a task and its Python worker hold one
+block at a time, whatever the benchmark's size. The hits of all blocks, a table of the texts that have any,
+are then joined to the rows by text.
 
 Edge cases: null or empty texts and items match nothing; items too short for an edit need an exact place;
 an item may begin or end within a word; of several places in one text the nearest, then first, is
@@ -17,13 +20,15 @@ reported; repeated items or documents report each on its own; further columns pa
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.op1_license import fold
-from tessera.llm.runtime import read, row_wise
+from tessera.llm.runtime import by_ids, cut, drop, kept_only, read, row_wise, unused
 
 RATE = 0.08
 GRAM = 4
@@ -135,7 +140,12 @@ class Matcher:
             best = self._better(best, item, line, reach)
             if best:
                 distance, begin, end = best
-                out.append({"item_id": item.id, "distance": distance, "first_word": line.count(" ", 0, begin + 1), "last_word": line.count(" ", 0, end)})
+                out.append({"item_id": item.id, "distance": distance, "first_word": begin + 1, "last_word": end})
+        if out:
+            # Word places from ends in bytes, by one list of the line's spaces.
+            spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), dtype=np.uint8) == 0x20)
+            for x in out:
+                x |= {k: int(np.searchsorted(spaces, x[k])) for k in ("first_word", "last_word")}
         return sorted(out, key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["distance"], x["first_word"]))
 
     @staticmethod
@@ -153,13 +163,31 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "
     """`docs` with the array column `out` of the benchmark's items (item_id, text) that each text contains."""
     items = benchmark.where("text IS NOT NULL").select("item_id", F.col("text").cast("binary").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
-    blocks = -(-total // BLOCK_BYTES)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    found = []
+    if total <= BLOCK_BYTES:
+        block = [(r["item_id"], bytes(r["text"])) for r in items.collect()]
+        return docs.withColumn(out, _column(sorted(block, key=repr), rate)(body) if block else F.array().cast(HITS_DDL))
+    key = unused(docs, "text_key")
+    keyed = docs.withColumns({f"{key}a": F.xxhash64(body), f"{key}b": F.xxhash64(F.lit(1), body)})
+    found = _in_blocks(keyed.select(F.col(f"{key}a").alias("a"), F.col(f"{key}b").alias("b"), body.alias("text")), items, -(-2 * total // BLOCK_BYTES), rate)
+    hits = found.select(F.col("a").alias(f"{key}a"), F.col("b").alias(f"{key}b"), F.col("hits").alias(f"{key}hits"))
+    joined = by_ids(keyed, hits, [f"{key}a", f"{key}b"], "left")
+    return joined.withColumn(out, F.coalesce(f"{key}hits", F.array().cast(HITS_DDL))).drop(f"{key}a", f"{key}b", f"{key}hits")
+
+
+def _in_blocks(texts: DataFrame, items: DataFrame, blocks: int, rate: float) -> DataFrame:
+    """(a, b, hits) of each text (a, b, text) with hits, as a table; items are dealt to blocks of about half the bound by their hash."""
+    dealt = cut(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))))
+    parts = []
     for k in range(blocks):
-        block = [(r["item_id"], bytes(r["text"])) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        found.append(_column(sorted(block, key=repr), rate)(body))
-    return docs.withColumn(out, F.concat(*found) if found else F.array().cast(HITS_DDL))
+        block = [(r["item_id"], bytes(r["text"])) for r in dealt.where(F.col("block") == k).collect()]
+        if block:
+            scanned = texts.select("a", "b", _column(sorted(block, key=repr), rate)(F.col("text")).alias("hits"))
+            parts.append(cut(kept_only(scanned, F.size("hits") > 0).groupBy("a", "b").agg(F.first("hits").alias("hits"))))
+    whole = reduce(DataFrame.union, parts).groupBy("a", "b").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    made = cut(whole)
+    drop(dealt, *parts)
+    return made
 
 
 def _column(block: list[tuple[int, bytes]], rate: float):  # noqa: ANN202

@@ -184,13 +184,21 @@ def test_decontamination_against_brute_force(spark, odd, nothing):
     assert op7_decontaminate.mark(nothing, benchmark).count() == 0
 
 
-def test_blocks_of_items(spark, monkeypatch):
-    items = spark.createDataFrame([(i, f"item number {i} is a text of its own") for i in range(20)], "item_id long, text string")
-    docs = spark.createDataFrame([(0, "here item number 7 is a text of its own and item number 13 is a text of its own")], "doc_id long, text string")
-    one = op7_decontaminate.mark(docs, items).first().leaks
-    monkeypatch.setattr(op7_decontaminate, "BLOCK_BYTES", 400)
-    many = op7_decontaminate.mark(docs, items).first().leaks
-    assert sorted(x.item_id for x in one) == sorted(x.item_id for x in many) and {7, 13} <= {x.item_id for x in one}
+def test_blocks_of_items(spark, odd, nothing, monkeypatch):
+    """Many blocks find what one does; each is scanned by a function of its own, one after another."""
+    items = spark.createDataFrame([(i, f"item number {i} is a text of its own") for i in range(20)] + [(None, "no id at all"), (7, "number 7 is")], "item_id long, text string")
+    two = "here item number 7 is a text of its own and item number 13 is a text of its own"
+    docs = spark.createDataFrame([(0, two), (1, two), (2, "nothing here"), (3, None), (4, "no id at all"), (None, two)], "doc_id long, text string").repartition(3)
+    rows = lambda df: sorted(((r.doc_id or -1, sorted((-1 if x.item_id is None else x.item_id, x.distance, x.first_word, x.last_word) for x in r.hits)) for r in df.collect()))
+    one = rows(op7_decontaminate.mark(docs, items, out="hits"))
+    odd_one = rows(op7_decontaminate.mark(odd, items, out="hits"))
+    seen, column = [], op7_decontaminate._column
+    monkeypatch.setattr(op7_decontaminate, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(op7_decontaminate, "_column", lambda block, rate: (seen.append(len(block)), column(block, rate))[1])
+    many = op7_decontaminate.mark(docs, items, out="hits")
+    assert rows(many) == one and {7, 13} <= {x[0] for x in one[0][1]} and len(seen) > 3 and sum(seen) == 22
+    assert many._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 0
+    assert rows(op7_decontaminate.mark(odd, items, out="hits")) == odd_one and op7_decontaminate.mark(nothing, items).count() == 0
 
 
 def brute_seats(votes, seats):
