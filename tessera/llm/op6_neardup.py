@@ -9,16 +9,20 @@ looks only at ranks below (K ln K + 2 K) / total weight, and doubles that where
 empty: work per text follows K and its number of elements, not their product.
 
 Candidates. BANDS bands of ROWS coordinates each are hashed to bucket keys. A bucket is never paired
-with itself: its members are compared with one leader, the member that shares buckets with most others.
-Members that are near no leader stay, with twice as many leaders each round, until none is left.
-A member that is near a leader leaves the bucket, so a text that is linked to it but not to the leader
-is still to be found: after the rounds, every two members of a bucket that are in different components
-are compared, unless the triangle inequality of Jaccard distance (by the bucket's first leader) or their
-numbers of shingles rule a link out. This goes by growing portions of the pairs, and components that a
-portion unites aren't compared further. In the end every two texts that share a bucket are of one
-component, compared, or ruled out.
-
-Check. Candidate pairs are verified on their shingle sets (32-bit ids). Verified links go to
+with itself: its members are compared with one leader, the member that shares buckets with most others, and
+those that are not near it with a second one, chosen among them alike. Verified links make components. Then every
+two members of a bucket that are of different components are compared, unless a bound rules a link out:
+their sizes; and for each leader c that both have met, as shingles they share are either in c or not,
+
+    |x & y| <= min(|x & c|, |y & c|) + min(r(x), r(y)),   r(x) = |x - c| - (shingles that no other text has),
+
+which holds exactly, so nothing is capped or sampled. (Shingles that no other text has are counted among the members of
+all buckets with HOT members or more that are of several components; in smaller buckets none are taken off.) The comparison
+goes by growing portions of the pairs, and components that a portion unites aren't compared further. In the end every
+two texts that share a bucket are of one component, compared, or ruled out. A large family without links,
+whose shingles the bound can't tell apart, is still compared pair by pair.
+
+Check. Candidate pairs are verified on their shingle sets (44-bit ids). Verified links go to
 alternating large-star and small-star rounds; classes, links and fingerprints stay in Spark.
 
 A pair at similarity 0.8 shares a bucket with probability 1 - (1 - 0.8^8)^50 = 0.9999.
@@ -33,7 +37,6 @@ are not read.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import ALNUM, Chunk, chunks, mix
-from tessera.llm.runtime import arrow_map, by_ids, cut, read, unit_hash, unused
+from tessera.llm.runtime import arrow_map, by_ids, cut, drop, read, unit_hash, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -50,8 +53,12 @@ ROWS = 8
 K = BANDS * ROWS
 #: Up to these portions of the pairs across components are compared, with components joined in between; the last is all of them.
 PORTIONS = (1 / 32, 1 / 4, 1.0)
+#: Leaders that a bucket's members meet.
+LEADERS = 2
+#: From so many members on, shingles that no other text has count in a bucket's bound.
+HOT = 16
 #: About so many members of a bucket stand in a block.
-BLOCK = 256
+BLOCK = 512
 #: Texts whose darts are held together.
 TEXTS_AT_ONCE = 64
 #: The rank axis: [0, 2^-FINE), then [2^m, 2^(m+1)) for m from -FINE on.
@@ -174,32 +181,33 @@ def signed(docs: DataFrame, weighting: str = "binary") -> DataFrame:
     return arrow_map(keyed, run, "doc_id long, a long, b long, keys array<long>")
 
 
+NODE = "struct<doc_id: long, a: long>"
+
+
 def node(doc_id: str, key: Column) -> Column:
     """What stands for a text: the smallest doc_id that has it, then its key, as a doc_id may stand on several texts."""
     return F.struct(F.col(doc_id).alias("doc_id"), key.alias("a"))
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, set): sorted 32-bit shingle ids of each row; doc_id is a node."""
+    """(rep, set): the shingle ids of each row (rep, text); rep is a node."""
 
     def run(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 doc, ids, _ = shingles(chunk)
                 bounds = np.searchsorted(doc, np.arange(chunk.rows + 1)).astype(np.int32)
-                small = (ids & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[chunk.first : chunk.first + chunk.rows], pa.ListArray.from_arrays(pa.array(bounds), pa.array(small))], ["doc_id", "set"])
+                yield pa.RecordBatch.from_arrays([batch.column("rep")[chunk.first : chunk.first + chunk.rows], pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids.view(np.int64)))], ["rep", "set"])
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id struct<doc_id: long, a: long>, set array<int>")
+    return arrow_map(docs.select("rep", "text"), run, f"rep {NODE}, set array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Add the Jaccard similarity to pairs (u, v)."""
-    one = pairs.join(sets.withColumnsRenamed({"doc_id": "u", "set": "set_u"}), "u")
-    two = one.join(sets.withColumnsRenamed({"doc_id": "v", "set": "set_v"}), "v")
-    shared = F.size(F.array_intersect("set_u", "set_v"))
-    both = two.withColumn("shared", shared).withColumn("all", F.size(F.array_distinct("set_u")) + F.size(F.array_distinct("set_v")) - F.col("shared"))
-    return both.select("u", "v", (F.col("shared") / F.col("all")).alias("similarity"))
+    """(u, v, shared, similarity) of pairs (u, v): shingles that both have, and the Jaccard similarity."""
+    one = pairs.join(sets.withColumnsRenamed({"rep": "u", "set": "set_u"}), "u")
+    two = one.join(sets.withColumnsRenamed({"rep": "v", "set": "set_v"}), "v")
+    both = two.withColumn("shared", F.size(F.array_intersect("set_u", "set_v")))
+    return both.select("u", "v", "shared", (F.col("shared") / (F.size("set_u") + F.size("set_v") - F.col("shared"))).alias("similarity"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -216,72 +224,91 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        links, spent = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct()), links
+        drop(least, large, low, spent)
 
 
 def linked(nodes: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, label) of the nodes (doc_id, keys) that are linked to a smaller one, as the module's description says."""
-    buckets = nodes.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
+    """(id, label) of the nodes (rep, keys) that are linked to a smaller one, as the module's description says."""
+    buckets = nodes.select("rep", F.explode("keys").alias("key"))
     shared = cut(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    members = cut(buckets.join(shared, "key"))
-    degree = cut(members.groupBy("rep").agg((F.sum("n") - F.count(F.lit(1)) + unit_hash("rep")).alias("degree")))
-    members = cut(members.join(degree, "rep").select("key", "rep", "degree"))
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(node("doc_id", F.xxhash64("text")).alias("doc_id"), "text")
-    sets = cut(shingle_sets(by_ids(texts, degree.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
-
-    tested: list[DataFrame] = []
-    # `near_first`: how near a member is to its bucket's first leader. Two members whose distances to one
-    # text differ by more than 1 - similarity are no link, by the triangle inequality.
-    rest, slots = members.withColumn("near_first", F.lit(None).cast("double")), 1
-    while True:
-        slot = F.pmod(F.xxhash64("key", "rep"), F.lit(slots))
-        leaders = rest.groupBy("key", slot.alias("slot")).agg(F.max_by(F.struct("rep", "near_first"), "degree").alias("head"))
-        leaders = leaders.select(F.col("key").alias("k"), F.col("head.rep").alias("leader"), F.col("head.near_first").alias("near_head"))
-        apart = F.abs(F.col("near_first") - F.col("near_head")) > 1 - similarity
-        led = rest.join(leaders, (F.col("key") == F.col("k")) & ~F.coalesce(apart, F.lit(False)))
-        led = cut(led.select("key", "rep", "degree", "near_first", F.greatest("rep", "leader").alias("u"), F.least("rep", "leader").alias("v")))
-        pairs = led.where("u > v").select("u", "v").distinct()
-        if tested:
-            pairs = pairs.join(reduce(DataFrame.union, tested), ["u", "v"], "left_anti")
-        tested.append(cut(verified(pairs, sets)))
-        # Done in this bucket: its leaders, whom all near enough have met, and who is near one of them.
-        met = led.join(reduce(DataFrame.union, tested), ["u", "v"], "left")
-        done = met.groupBy("key", "rep", "degree").agg(
-            F.max((F.col("u") == F.col("v")) | F.coalesce(F.col("similarity") >= similarity, F.lit(False))).alias("done"),
-            F.coalesce(F.max("near_first"), F.max("similarity")).alias("near_first"),
-        )
-        if slots == 1:
-            done = cut(done)
-            first = done.select("key", "rep", F.coalesce("near_first", F.lit(1.0)).alias("near_first"))  # none: the leader itself
-        known = rest.select("key", "rep", "degree", "near_first").join(done.select("key", "rep", "done", F.col("near_first").alias("now")), ["key", "rep"], "left") if slots > 1 else done.withColumn("now", F.col("near_first"))
-        rest = cut(known.where(~F.coalesce("done", F.lit(False))).select("key", "rep", "degree", F.coalesce("now", "near_first").alias("near_first")))
+    placed = cut(buckets.join(shared, "key"))
+    degree = cut(placed.groupBy("rep").agg((F.sum("n") - F.count(F.lit(1)) + unit_hash("rep")).alias("degree")))
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(node("doc_id", F.xxhash64("text")).alias("rep"), "text")
+    sets = cut(shingle_sets(by_ids(texts, degree.select("rep"), "rep", "left_semi")).dropDuplicates(["rep"]))
+    members = cut(placed.join(degree, "rep").join(sets.select("rep", F.size("set").alias("size")), "rep").select("key", "n", "rep", "degree", "size"))
+    drop(shared, placed, degree)
+
+    # met<k>: shingles that a member shares with its bucket's k-th leader; null if it was near an earlier one.
+    rest, judged = members, None
+    for k in range(LEADERS):
+        leaders = rest.groupBy("key").agg(F.max_by("rep", "degree").alias("leader"))
+        led = cut(rest.join(leaders, "key").select("key", "rep", "degree", "size", "leader", F.greatest("rep", "leader").alias("u"), F.least("rep", "leader").alias("v")))
+        pairs = led.where("u <> v").select("u", "v").distinct()
+        new = cut(verified(pairs if judged is None else pairs.join(judged, ["u", "v"], "left_anti"), sets))
+        judged = new if judged is None else judged.union(new)
+        own = F.col("u") == F.col("v")
+        met = cut(led.join(judged, ["u", "v"], "left").select("key", "rep", "degree", "size", F.when(own, F.col("size")).otherwise(F.col("shared")).alias(f"met{k}"), F.coalesce(own | (F.col("similarity") >= similarity), F.lit(False)).alias("near")))
+        drop(led)
+        both = members.join(met.select("key", "rep", f"met{k}"), ["key", "rep"], "left") if k else members.drop("degree").join(met.select("key", "rep", "met0"), ["key", "rep"])
+        members, old = cut(both), members
+        rest, spent = cut(met.where("NOT near").drop("near", f"met{k}")), rest
+        drop(met, old, spent)
         if rest.isEmpty():
             break
-        slots *= 2
-    return united(first, reduce(DataFrame.union, tested), sets, similarity)
+    names = [c for c in members.columns if c.startswith("met")]
+    return united(members, judged, sets, similarity, names)
+
 
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets with several components, with their `label`, and their bucket's largest component as `home`."""
+    placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    kinds = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    homes = kinds.groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("home"), F.count(F.lit(1)).alias("kinds"))
+    return placed.join(homes.where("kinds > 1").drop("kinds"), "key")
 
-def united(members: DataFrame, judged: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(id, label) once every two members (key, rep, near_first) of a bucket are of one component, judged, or ruled out."""
+
+def lone(sets: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, lone): how many shingles each of the texts `reps` has that no other of them has."""
+    each = sets.join(reps, "rep", "left_semi").select("rep", F.explode("set").alias("shingle"))
+    single = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.first("rep").alias("rep")).where("n = 1")
+    return single.groupBy("rep").agg(F.count(F.lit(1)).cast("int").alias("lone"))
+
+
+def may_link(similarity: float, met: list[str]) -> Column:
+    """Whether the bounds of the module's description leave a link between a member and the one with columns <name>_s."""
+    reach = similarity - 1e-9
+    open_ = F.least("size", "size_s") >= F.greatest("size", "size_s") * reach
+    for c in met:
+        more = F.least(F.col("size") - F.col(c) - F.col("lone"), F.col("size_s") - F.col(f"{c}_s") - F.col("lone_s"))
+        most = F.least(F.col(c), F.col(f"{c}_s")) + F.greatest(more, F.lit(0))
+        # most / (both sizes - most) >= similarity, without a division
+        open_ = open_ & F.coalesce(most * (1 + reach) >= (F.col("size") + F.col("size_s")) * reach, F.lit(True))
+    return open_
+
+
+def united(members: DataFrame, judged: DataFrame, sets: DataFrame, similarity: float, met: list[str]) -> DataFrame:
+    """(id, label) once every two members (key, n, rep, size, met...) of a bucket are of one component, judged, or ruled out."""
     labels = cut(components(judged.where(F.col("similarity") >= similarity).select("u", "v")))
-    sizes = sets.select(F.col("doc_id").alias("rep"), F.size(F.array_distinct("set")).alias("size"))
-    members = cut(members.join(sizes, "rep"))
+    mixed = cut(_mixed(members, labels).drop("label", "home"))
+    drop(members)
+    hot = mixed.where(F.col("n") >= HOT).select("rep").distinct()
+    single = cut(lone(sets, hot))
+    members = cut(mixed.join(single, "rep", "left").withColumn("lone", F.when(F.col("n") >= HOT, F.coalesce("lone", F.lit(0))).otherwise(F.lit(0))))
+    drop(mixed, single)
     for portion in PORTIONS:
-        placed = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        kinds = placed.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        homes = kinds.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("home"), F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n"))
-        mixed = cut(placed.join(homes.where("kinds > 1"), "key").withColumn("parts", F.ceil(F.col("n") / BLOCK)))
+        mixed = cut(_mixed(members, labels).withColumn("parts", F.ceil(F.col("n") / BLOCK)))
+        if mixed.isEmpty():
+            break
         # Of two components one isn't the bucket's largest: its members go to each block of the others.
-        strays = mixed.where("label <> home").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_s") for c in ("rep", "label", "near_first", "size")))
+        strays = mixed.where("label <> home").select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}_s") for c in ("rep", "label", "size", "lone", *met)))
         blocks = mixed.withColumn("part", F.pmod(F.xxhash64("rep"), "parts"))
-        reach = 1 - similarity + 1e-9
-        near = ~F.coalesce(F.abs(F.col("near_first") - F.col("near_first_s")) > reach, F.lit(False))
-        alike = F.least("size", "size_s") >= F.greatest("size", "size_s") * (similarity - 1e-9)
         u, v = F.greatest("rep", "rep_s"), F.least("rep", "rep_s")
         once = (F.col("label") == F.col("home")) | (F.col("rep") < F.col("rep_s"))
-        pairs = blocks.join(strays, ["key", "part"]).where((F.col("label") != F.col("label_s")) & once & alike & near).select(u.alias("u"), v.alias("v"))
-        pairs = pairs.where(unit_hash("u", "v") < portion).distinct().join(judged, ["u", "v"], "left_anti")
-        new = cut(verified(pairs, sets))
+        chosen = (F.col("label") != F.col("label_s")) & once & may_link(similarity, met) & (unit_hash(u, v) < portion)
+        pairs = blocks.join(strays, ["key", "part"]).where(chosen).select(u.alias("u"), v.alias("v"))
+        new = cut(verified(pairs.distinct().join(judged, ["u", "v"], "left_anti"), sets))
+        drop(mixed)
         judged = judged.union(new)
         found = new.where(F.col("similarity") >= similarity)
         if found.isEmpty():
@@ -290,7 +317,8 @@ def united(members: DataFrame, judged: DataFrame, sets: DataFrame, similarity: f
         joints = found.join(known("u"), "u", "left").join(known("v"), "v", "left").select(F.coalesce("label_u", "u").alias("u"), F.coalesce("label_v", "v").alias("v"))
         merged = cut(components(joints))
         moved = labels.join(merged.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
-        labels = cut(moved.union(merged))
+        labels, old = cut(moved.union(merged)), labels
+        drop(old, merged)
     return labels
 
 
@@ -300,7 +328,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, weighting: str = "b
     copies = cut(marked.groupBy("a", "b").agg(F.min("doc_id").alias("rep")))
     member = cut(marked.select("doc_id", "a", "b").join(copies, ["a", "b"]).select("doc_id", "a", node("rep", F.col("a")).alias("rep")))
     nodes = marked.join(copies.select("a", "b", F.col("rep").alias("doc_id")), ["a", "b", "doc_id"], "left_semi").where(F.size("keys") > 0).dropDuplicates(["doc_id", "a", "b"])
-    labels = linked(nodes.select(node("doc_id", F.col("a")).alias("doc_id"), "keys"), docs, similarity)
+    labels = linked(nodes.select(node("doc_id", F.col("a")).alias("rep"), "keys"), docs, similarity)
     named = member.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.col("a").alias("text_key"), F.coalesce("label", "rep")["doc_id"].alias("class_id"))
     alone = docs.where("doc_id IS NULL OR text IS NULL").select("doc_id", F.xxhash64("text").alias("text_key"), F.col("doc_id").alias("class_id"))
     return named.union(alone)

@@ -100,7 +100,7 @@ def row_wise(run: Callable, ddl: str) -> Callable:
     return F.arrow_udf(run, ddl, F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
 
 
-def unit_hash(*columns: str) -> Column:
+def unit_hash(*columns: str | Column) -> Column:
     """A number in [0, 1) from a hash of the columns, the same on every run."""
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
 

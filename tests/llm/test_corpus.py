@@ -89,6 +89,61 @@ def test_texts_linked_to_one_member_of_a_large_family(spark):
     assert len(got) == len(docs) and set(got.values()) == {0}
 
 
+def family(seed, n, edits, words=200):
+    """Texts that differ from one base by some random words each, between the two numbers of `edits`."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    return list(enumerate(" ".join(f"e{i}x{k}" if k in places else w for k, w in enumerate(base)) for i in range(n) for places in [set(rng.sample(range(words), rng.randint(*edits)))]))
+
+
+@pytest.mark.parametrize(("seed", "edits", "share"), [(31, (0, 7), 0.25), (32, (3, 3), 1.0)])
+def test_a_family_around_the_threshold(spark, monkeypatch, seed, edits, share):
+    """Every class is that of all pairs; with members near the base, most pairs are ruled out before they are compared."""
+    docs, compared = family(seed, 300, edits), []
+    verified = op6_neardup.verified
+
+    def counted(pairs, sets):
+        made = op6_neardup.cut(verified(pairs, sets))
+        compared.append(made.count())
+        return made
+
+    monkeypatch.setattr(op6_neardup, "verified", counted)
+    got = {r.doc_id: r.class_id for r in op6_neardup.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert got == brute_classes(docs) and len(set(got.values())) > 5
+    assert sum(compared) < share * 300 * 299 / 2
+
+
+def test_bounds_rule_out_no_link(spark):
+    """The bounds against the sets themselves, for random sets and any leader."""
+    rng = random.Random(33)
+    sets = [set(rng.sample(range(40), rng.randint(10, 25))) | {100 + i for _ in range(rng.randint(0, 1))} | set(range(200, 200 + rng.randint(20, 60))) for i in range(60)]
+    seen = {}
+    for x in sets:
+        for e in x:
+            seen[e] = seen.get(e, 0) + 1
+    rows = [(i, len(x), sum(seen[e] == 1 for e in x), len(x & sets[0]), len(x & sets[1]) if i % 3 else None) for i, x in enumerate(sets)]
+    one = spark.createDataFrame(rows, "i int, size int, lone int, met0 int, met1 int")
+    pairs = one.join(one.toDF("j", "size_s", "lone_s", "met0_s", "met1_s"), F.col("i") < F.col("j"))
+    for similarity in (0.5, 0.8):
+        got = {(r.i, r.j) for r in pairs.where(op6_neardup.may_link(similarity, ["met0", "met1"])).collect()}
+        links = {(i, j) for j in range(60) for i in range(j) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])}
+        assert links <= got and len(got) < 60 * 59 / 2
+    listed = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "rep int, set array<long>")
+    assert {r.rep: r.lone for r in op6_neardup.lone(listed, listed.select("rep")).collect()} == {i: r[2] for i, r in enumerate(rows) if r[2]}
+
+
+def test_recall_on_documents(spark):
+    """Of all pairs at 0.8 or more between every 50th document and all documents, none is apart in its class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = {r.doc_id: r.class_id for r in op6_neardup.classes(docs).collect()}
+    sets = {}
+    for r in docs.collect():
+        w = fold((r.text or "").encode())
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    links = [(i, j) for i in sets if i % 50 == 0 for j in sets if i != j and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(got) == len(sets) and all(got[i] == got[j] for i, j in links)
+
+
 def test_a_doc_id_on_two_texts(spark):
     rng = random.Random(19)
     words, other = prose(rng, "en", 100).split(), prose(rng, "de", 100)
