@@ -1,21 +1,24 @@
 """LM scoring by masked pseudo-likelihood: a bidirectional window network predicts every token of a text from
 both sides, and the text's score is the sum of the conditional log-probabilities.
 
-Tokens are folded words, hashed to 2^BITS bins. Three passes, none of which shuffles a text:
-
-1. Counts. Every partition counts the bins of all its tokens; the sums over the corpus give each bin's
-   probability within its class. The TOP most frequent bins are classes of their own; the others are
-   dealt to REST classes by their hash.
-2. Training. Every partition trains the network from one shared start on its own texts and sends its
-   weights, weighted by its number of targets, to a distributed average, from which the next round
-   starts. A place's hash names the round in which it is a target: in the ROUNDS rounds every token
-   of every text is a target once. What is gathered follows the number of partitions, so the input.
-3. Scores. P(token | both sides) = P(class | window) * P(bin | class), for every token of every text.
-
-The network: the embeddings of SIDE words on either side, a hidden tanh layer, a softmax over the classes.
-Words beyond a text's ends are a padding bin.
-
-Model and counts have a fixed size (BITS, TOP, REST), however large the corpus.
+Tokens are folded words. What the model holds follows the corpus:
+
+1. Shards. Texts are dealt by their hash to shards of about SHARD_BYTES and sorted there, copies of a text as one row
+   with its number: one shuffle, after which everything below is the same however the table was laid out.
+2. Counts. Words are counted in 2^WIDEST bins over the whole corpus. The number of bins kept is twice to four times
+   that of the distinct ones, so it grows with the corpus (up to 2^WIDEST, 4.2 million). The most frequent bins
+   have an embedding row of their own, others share one; rows grow with the bins up to ROWS. In a tree of
+   CLASSES x CLASSES leaves the OWN most frequent bins have a leaf each, the others share leaves of bins
+   of about equal frequency, and unseen bins have the last leaf.
+3. Training. In each of ROUNDS rounds every shard trains the network from one shared start; the average of what
+   the shards learnt, each weight by how often its inputs or targets occurred, is formed in Spark, and the next round
+   starts from it. A place's hash names its round: every token of every text is a target once. A text
+   weighs as often as it occurs. Shards, so what is gathered, grow with the input.
+4. Scores. P(token | both sides) = P(class | window) * P(leaf | class, window) * P(bin | leaf), for every
+   token of every text. Only the last factor, within leaves of rare words, is a count without context.
+
+The network: the embeddings of SIDE words on either side, a hidden tanh layer, a softmax over the classes and one
+over the leaves of each class. Words beyond a text's ends are a padding row.
 
 Edge cases: a null text, and one without words, scores 0 with no tokens and a null mean; a text of one
 word is predicted from padding; an empty table gives no rows; repeated rows score the same, each on its
@@ -32,149 +35,250 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import ALNUM, Chunk, chunks, mix
-from tessera.llm.runtime import arrow_map, read, row_wise
+from tessera.llm.runtime import arrow_map, cut, drop, read, row_wise
 
-BITS = 16
-TOP = 32
-REST = 64
+FEWEST, WIDEST = 12, 22
+ROWS = 1 << 16
+CLASSES = 64
+OWN = 3584
 SIDE = 2
 EMBEDDING = 8
 HIDDEN = 24
-ROUNDS = 4
-BATCH = 512
+ROUNDS = 2
+BATCH = 1024
 RATE = 0.05
 SEED = 42
+SHARD_BYTES = 1 << 24
+#: Keys that a task holds while it joins copies.
+KEYS = 200_000
 #: Bytes of text scored at once: the window's intermediate arrays stay small.
 CHUNK = 1 << 17
 
-CLASSES = TOP + REST
-PAD = 1 << BITS
+LEAVES = CLASSES * CLASSES
+WIDTH = 8
 
 
 def tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bin) of every word of the chunk."""
+    """(document, bin of 2^WIDEST) of every word of the chunk."""
     words = chunk.scan(ALNUM)
-    return words.doc, (words.hashes() >> np.uint64(64 - BITS)).astype(np.int32)
+    return words.doc, (words.hashes() >> np.uint64(64 - WIDEST)).astype(np.int32)
 
 
-def contexts(doc: np.ndarray, bins: np.ndarray) -> np.ndarray:
-    """(place, token) bins of the words on either side, PAD beyond the document."""
-    out = np.full((2 * SIDE, len(bins)), PAD, dtype=np.int32)
+def contexts(doc: np.ndarray, rows: np.ndarray, pad: int) -> np.ndarray:
+    """(place, token) embedding rows of the words on either side, `pad` beyond the document."""
+    out = np.full((2 * SIDE, len(rows)), pad, dtype=np.int32)
     for k in range(1, SIDE + 1):
         same = np.flatnonzero(doc[k:] == doc[:-k])
-        out[SIDE - k, same + k] = bins[same]
-        out[SIDE + k - 1, same] = bins[same + k]
+        out[SIDE - k, same + k] = rows[same]
+        out[SIDE + k - 1, same] = rows[same + k]
     return out
 
 
+@dataclass
+class Lexicon:
+    """What the counts say: for each of 2^bits bins its leaf, its log-probability there, and its embedding row."""
+
+    bits: int
+    leaf: np.ndarray
+    log_within: np.ndarray
+    row: np.ndarray
+    rows: int
+
+    @classmethod
+    def of(cls, wide: np.ndarray, n: np.ndarray) -> Lexicon:
+        """From the corpus' counts n of the bins `wide` (of 2^WIDEST)."""
+        bits = min(max(len(wide).bit_length() + 1, FEWEST), WIDEST)
+        size = 1 << bits
+        held = np.bincount(wide >> (WIDEST - bits), weights=n, minlength=size)
+        order = np.argsort(-held, kind="stable")
+        leaf = np.full(size, LEAVES - 1, dtype=np.int16)
+        leaf[order[:OWN]] = np.arange(min(OWN, size))
+        common = order[OWN : np.count_nonzero(held)]
+        if len(common):
+            before = np.cumsum(held[common]) - held[common]
+            leaf[common] = OWN + np.minimum(before / held[common].sum() * (LEAVES - 1 - OWN), LEAVES - 2 - OWN).astype(np.int16)
+        leaf[held == 0] = LEAVES - 1
+        weight = np.where(held == 0, 0.5, held)
+        mass = np.bincount(leaf, weights=weight, minlength=LEAVES)
+        rows = min(ROWS, max(1 << 10, size >> 4))
+        own = rows * 3 // 4
+        row = own + (np.arange(size, dtype=np.int64) * 0x9E3779B1 >> 7) % (rows - own)
+        row[order[:own]] = np.arange(min(own, size))
+        return cls(bits, leaf, (np.log(weight) - np.log(mass[leaf])).astype(np.float32), row.astype(np.int32), rows)
+
+    def bins(self, wide: np.ndarray) -> np.ndarray:
+        return wide >> (WIDEST - self.bits)
+
+
+def _log_softmax(logits: np.ndarray) -> np.ndarray:
+    logits -= logits.max(axis=1, keepdims=True)
+    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+
+
+def _groups(classes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(class, places) of the classes that occur."""
+    order = np.argsort(classes, kind="stable")
+    found, first = np.unique(classes[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, first[1:]), strict=True))
+
+
 @dataclass
 class Network:
-    """Weights, all float32: embeddings (bin), hidden (place, embedding, hidden), output (hidden, class)."""
+    """Weights, all float32: embeddings (row), hidden (place, embedding, hidden), classes (hidden, class), leaves (class, hidden, leaf)."""
 
     embedding: np.ndarray
     hidden: np.ndarray
     hidden_bias: np.ndarray
-    out: np.ndarray
-    out_bias: np.ndarray
+    top: np.ndarray
+    top_bias: np.ndarray
+    leaf: np.ndarray
+    leaf_bias: np.ndarray
 
     @classmethod
-    def start(cls, seed: int = SEED) -> Network:
+    def start(cls, rows: int, seed: int = SEED) -> Network:
         rng = np.random.default_rng(seed)
         normal = lambda *shape: rng.standard_normal(shape).astype(np.float32)
         return cls(
-            normal(VECTORS + 1, EMBEDDING) * np.float32(0.3), normal(2 * SIDE, EMBEDDING, HIDDEN) / np.float32(np.sqrt(2 * SIDE * EMBEDDING)),
-            np.zeros(HIDDEN, np.float32), normal(HIDDEN, CLASSES) * np.float32(0.1), np.zeros(CLASSES, np.float32),
+            normal(rows + 1, EMBEDDING) * np.float32(0.3), normal(2 * SIDE, EMBEDDING, HIDDEN) / np.float32(np.sqrt(2 * SIDE * EMBEDDING)), np.zeros(HIDDEN, np.float32),
+            normal(HIDDEN, CLASSES) * np.float32(0.1), np.zeros(CLASSES, np.float32), normal(CLASSES, HIDDEN, CLASSES) * np.float32(0.1), np.zeros((CLASSES, CLASSES), np.float32),
         )
 
     def parts(self) -> list[np.ndarray]:
-        return [self.embedding, self.hidden, self.hidden_bias, self.out, self.out_bias]
+        return [self.embedding, self.hidden, self.hidden_bias, self.top, self.top_bias, self.leaf, self.leaf_bias]
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts()])
+    def copy(self) -> Network:
+        return Network(*(p.copy() for p in self.parts()))
 
-    def filled(self, flat: np.ndarray) -> Network:
-        shapes, at, out = [p.shape for p in self.parts()], 0, []
-        for shape in shapes:
-            size = int(np.prod(shape))
-            out.append(flat[at : at + size].reshape(shape).astype(np.float32))
-            at += size
-        return Network(*out)
-
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _active(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         seen = self.embedding[context]
-        total = self.hidden_bias + sum(seen[k] @ self.hidden[k] for k in range(len(context)))
-        active = np.tanh(total)
-        logits = active @ self.out + self.out_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        return seen, active, logits
-
-    def log_class(self, context: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        _, _, logits = self.forward(context)
-        return logits[np.arange(len(classes)), classes] - np.log(np.exp(logits).sum(axis=1))
-
-    def learn(self, context: np.ndarray, classes: np.ndarray, memory: list[np.ndarray]) -> None:
-        """One AdaGrad step; `memory` holds the squared gradients."""
-        seen, active, logits = self.forward(context)
-        p = np.exp(logits)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(len(classes)), classes] -= 1
-        p /= len(classes)
-        back = (p @ self.out.T) * (1 - active**2)
-        step = lambda part, g, m: (np.add(m, g * g, out=m), np.subtract(part, RATE * g / (np.sqrt(m) + 1e-6), out=part))
+        return seen, np.tanh(self.hidden_bias + sum(seen[k] @ self.hidden[k] for k in range(len(context))))
+
+    def log_leaf(self, context: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """log P(leaf | window) of each place."""
+        classes, inner = np.divmod(leaves, CLASSES)
+        _, active = self._active(context)
+        out = _log_softmax(active @ self.top + self.top_bias)[np.arange(len(leaves)), classes]
+        for c, at in _groups(classes):
+            out[at] += _log_softmax(active[at] @ self.leaf[c] + self.leaf_bias[c])[np.arange(len(at)), inner[at]]
+        return out
+
+    def gradients(self, context: np.ndarray, leaves: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, list[np.ndarray], dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """(weighted mean loss, embedding rows met, their gradients, those of hidden to top_bias, those of each class' leaf and leaf_bias)."""
+        classes, inner = np.divmod(leaves, CLASSES)
+        share = (weights / weights.sum()).astype(np.float32)
+        seen, active = self._active(context)
+        log_p = _log_softmax(active @ self.top + self.top_bias)
+        loss = log_p[np.arange(len(leaves)), classes]
+        p = np.exp(log_p)
+        p[np.arange(len(leaves)), classes] -= 1
+        p *= share[:, None]
+        back = p @ self.top.T
+        by_class = {}
+        for c, at in _groups(classes):
+            log_q = _log_softmax(active[at] @ self.leaf[c] + self.leaf_bias[c])
+            loss[at] += log_q[np.arange(len(at)), inner[at]]
+            q = np.exp(log_q)
+            q[np.arange(len(at)), inner[at]] -= 1
+            q *= share[at, None]
+            back[at] += q @ self.leaf[c].T
+            by_class[c] = active[at].T @ q, q.sum(axis=0)
+        back *= 1 - active**2
+        dense = [np.stack([seen[k].T @ back for k in range(len(context))]), back.sum(axis=0), active.T @ p, p.sum(axis=0)]
+        each = np.concatenate([back @ self.hidden[k].T for k in range(len(context))])
         touched = context.ravel()
-        g_seen = np.concatenate([back @ self.hidden[k].T for k in range(len(context))])
-        rows, inverse = np.unique(touched, return_inverse=True)
-        g_rows = np.zeros((len(rows), EMBEDDING), dtype=np.float32)
-        np.add.at(g_rows, inverse, g_seen)
-        g_hidden = np.stack([seen[k].T @ back for k in range(len(context))])
-        step(self.out, active.T @ p, memory[3])
-        step(self.out_bias, p.sum(axis=0), memory[4])
-        step(self.hidden, g_hidden, memory[1])
-        step(self.hidden_bias, back.sum(axis=0), memory[2])
-        memory[0][rows] += g_rows**2
-        self.embedding[rows] -= RATE * g_rows / (np.sqrt(memory[0][rows]) + 1e-6)
-
-
-#: Bins that share an embedding row: context words need fewer rows than targets need bins.
-VECTORS = 1 << 11
-
-
-def vectors(context: np.ndarray) -> np.ndarray:
-    return np.where(context == PAD, VECTORS, context & (VECTORS - 1))
-
-
-@dataclass
-class Lexicon:
-    """What the counts say: each bin's class and its log-probability within it."""
-
-    classes: np.ndarray
-    log_within: np.ndarray
-
-    @classmethod
-    def of(cls, counts: np.ndarray) -> Lexicon:
-        held = counts.astype(np.float64) + 0.5  # unseen bins keep a little
-        order = np.argsort(-held, kind="stable")
-        classes = TOP + (np.arange(1 << BITS) * 0x9E3779B1 >> 7) % REST
-        classes[order[:TOP]] = np.arange(TOP)
-        mass = np.bincount(classes, weights=held, minlength=CLASSES)
-        return cls(classes.astype(np.int32), (np.log(held) - np.log(mass[classes])).astype(np.float32))
-
-
-def counts(docs: DataFrame) -> np.ndarray:
-    """How often each bin stands in the corpus; partitions send sums, and the result has a fixed size."""
+        order = np.argsort(touched, kind="stable")
+        rows, first = np.unique(touched[order], return_index=True)
+        return -float(loss @ share), rows, np.add.reduceat(each[order], first, axis=0), dense, by_class
+
+    def learn(self, context: np.ndarray, leaves: np.ndarray, weights: np.ndarray, memory: list[np.ndarray]) -> None:
+        """One AdaGrad step; `memory` holds the squared gradients, part by part."""
+        _, rows, g_rows, dense, by_class = self.gradients(context, leaves, weights)
+
+        def step(part: np.ndarray, held: np.ndarray, g: np.ndarray, at: object = slice(None)) -> None:
+            held[at] += g * g
+            part[at] -= np.float32(RATE) * g / (np.sqrt(held[at]) + np.float32(1e-6))
+
+        step(self.embedding, memory[0], g_rows, rows)
+        for part, held, g in zip(self.parts()[1:5], memory[1:5], dense, strict=True):
+            step(part, held, g)
+        for c, (g, g_bias) in by_class.items():
+            step(self.leaf, memory[5], g, c)
+            step(self.leaf_bias, memory[6], g_bias, c)
+
+    def listed(self) -> tuple[np.ndarray, np.ndarray]:
+        """(all weights in lines of WIDTH, what each line counts by): an embedding row, rows + 1 for the dense parts, rows + 2 + class."""
+        rows = len(self.embedding)
+        dense = np.concatenate([p.ravel() for p in self.parts()[1:5]])
+        dense = np.concatenate([dense, np.zeros(-len(dense) % WIDTH, np.float32)]).reshape(-1, WIDTH)
+        inner = np.concatenate([self.leaf.reshape(CLASSES, -1), self.leaf_bias], axis=1).reshape(-1, WIDTH)
+        per_class = len(inner) // CLASSES
+        return np.concatenate([self.embedding, dense, inner]), np.concatenate([np.arange(rows), np.full(len(dense), rows), rows + 1 + np.repeat(np.arange(CLASSES), per_class)])
+
+    def filled(self, lines: np.ndarray) -> Network:
+        """The network whose weights `listed` gives as `lines`."""
+        rows = len(self.embedding)
+        sizes = [p.size for p in self.parts()[1:5]]
+        end = rows + -(-sum(sizes) // WIDTH)
+        dense = np.split(lines[rows:end].ravel()[: sum(sizes)], np.cumsum(sizes)[:-1])
+        inner = lines[end:].reshape(CLASSES, -1)
+        parts = [lines[:rows], *dense, inner[:, : HIDDEN * CLASSES], inner[:, HIDDEN * CLASSES :]]
+        return Network(*(np.ascontiguousarray(new.reshape(old.shape), dtype=np.float32) for new, old in zip(parts, self.parts(), strict=True)))
+
+
+def sharded(docs: DataFrame) -> DataFrame:
+    """(shard, n, text) as a table: each distinct text of the column `text` once, with its number of rows, by shard and hash.
+
+    A shard lies in one file, in one order. Copies are joined before the shuffle too, so a text that a third of all
+    rows have is sent once by each task.
+    """
+    filled = docs.where("text IS NOT NULL").select("text")
+    total = filled.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = max(1, -(-total // SHARD_BYTES))
+    keyed = filled.select(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), "text")
+
+    def joined(batches):  # noqa: ANN001, ANN202
+        more: dict[tuple[int, int], int] = {}
+        for batch in batches:
+            first = []
+            for i, key in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+                if key in more:
+                    more[key] += 1
+                else:
+                    more[key] = 0
+                    first.append(i)
+            found = batch.take(pa.array(first, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*found.columns, pa.array(np.ones(len(first), dtype=np.int64))], ["a", "b", "text", "n"])
+            if len(more) > KEYS:
+                yield _counts_only(more)
+                more.clear()
+        yield _counts_only(more)
+
+    once = arrow_map(keyed, joined, "a long, b long, text string, n long").withColumn("shard", F.pmod("a", F.lit(shards)).cast("int"))
+    dealt = once.repartitionById(shards, F.col("shard")).groupBy("shard", "a", "b").agg(F.sum("n").alias("n"), F.max("text").alias("text"))
+    return cut(dealt.sortWithinPartitions("shard", "a", "b").select("shard", "n", "text"))
+
+
+def _counts_only(more: dict[tuple[int, int], int]) -> pa.RecordBatch:
+    found = [(*key, n) for key, n in more.items() if n]
+    a, b, n = zip(*found, strict=True) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(found), pa.string()), pa.array(n, pa.int64())], ["a", "b", "text", "n"])
+
+
+def counts(shards: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(bin of 2^WIDEST, how often it stands in the corpus); tasks send sums, and the result has a bounded size."""
 
     def run(batches):  # noqa: ANN001, ANN202
-        total = np.zeros(1 << BITS, dtype=np.int64)
+        total = np.zeros(1 << WIDEST, dtype=np.int64)
         for batch in batches:
+            n = batch.column("n").to_numpy()
             for chunk in chunks(batch.column("text")):
-                total += np.bincount(tokens(chunk)[1], minlength=1 << BITS)
+                doc, bins = tokens(chunk)
+                np.add.at(total, bins, n[doc + chunk.first])
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bin", "n"])
 
-    found = arrow_map(docs.select("text"), run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << BITS, dtype=np.int64)
-    out[found["bin"].to_numpy()] = found["n"].to_numpy()
-    return out
+    found = arrow_map(shards.select("text", "n"), run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toArrow()
+    return found["bin"].to_numpy(), found["n"].to_numpy()
 
 
 def turn(doc: np.ndarray, bins: np.ndarray) -> np.ndarray:
@@ -183,48 +287,81 @@ def turn(doc: np.ndarray, bins: np.ndarray) -> np.ndarray:
     return mix(place + bins.astype(np.uint64)) % np.uint64(ROUNDS)
 
 
-def trained(docs: DataFrame, lexicon: Lexicon, start: Network, nth: int) -> Network:
-    """Round `nth`: partitions train on their own texts, and the average of their weights is formed in Spark."""
+class Shard:
+    """One shard's training in one round."""
+
+    def __init__(self, network: Network) -> None:
+        self.network = network.copy()
+        self.memory = [np.full(p.shape, 1e-4, dtype=np.float32) for p in network.parts()]
+        self.seen = np.zeros(len(network.embedding) + 1 + CLASSES, dtype=np.int64)
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, context: np.ndarray, leaves: np.ndarray, weights: np.ndarray) -> None:
+        self.held.append((context, leaves, weights))
+        self.size += len(leaves)
+        if self.size >= BATCH:
+            self._learn(self.size - self.size % BATCH)
+
+    def _learn(self, whole: int) -> None:
+        context, leaves, weights = (np.concatenate(x, axis=-1) for x in zip(*self.held, strict=True))
+        for at in range(0, whole, BATCH):
+            part = slice(at, min(at + BATCH, whole))
+            self.network.learn(context[:, part], leaves[part], weights[part], self.memory)
+        rows = len(self.network.embedding)
+        self.seen[:rows] += np.bincount(context[:, :whole].ravel(), np.tile(weights[:whole], len(context)), rows).astype(np.int64)
+        self.seen[rows] += weights[:whole].sum()
+        self.seen[rows + 1 :] += np.bincount(leaves[:whole] // CLASSES, weights[:whole], CLASSES).astype(np.int64)
+        self.held, self.size = [(context[:, whole:], leaves[whole:], weights[whole:])], self.size - whole
+
+    def result(self) -> pa.RecordBatch:
+        """The lines that were met, with what they count by."""
+        if self.size:
+            self._learn(self.size)
+        lines, of = self.network.listed()
+        met = np.flatnonzero(self.seen[of])
+        columns = [pa.array(met.astype(np.int32)), *(pa.array(lines[met, k]) for k in range(WIDTH)), pa.array(self.seen[of[met]])]
+        return pa.RecordBatch.from_arrays(columns, ["line", *(f"v{k}" for k in range(WIDTH)), "weight"])
+
+
+def trained(shards: DataFrame, lexicon: Lexicon, start: Network, nth: int) -> Network:
+    """Round `nth`: shards train apart, and the average of what they learnt is formed in Spark."""
 
     def run(batches):  # noqa: ANN001, ANN202
-        network = start.filled(start.flat())
-        memory = [np.full(p.shape, 1e-4, dtype=np.float32) for p in network.parts()]
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = seen = 0
+        shard, now = None, None
         for batch in batches:
+            of, n = batch.column("shard").to_numpy(), batch.column("n").to_numpy().astype(np.float64)
             for chunk in chunks(batch.column("text")):
-                doc, bins = tokens(chunk)
-                use = np.flatnonzero(turn(doc, bins) == nth)
-                held.append((vectors(contexts(doc, bins)[:, use]), lexicon.classes[bins[use]]))
-                size += len(use)
-                while size >= BATCH:
-                    context, classes = np.concatenate([c for c, _ in held], axis=1), np.concatenate([c for _, c in held])
-                    whole = size - size % BATCH
-                    for at in range(0, whole, BATCH):
-                        network.learn(context[:, at : at + BATCH], classes[at : at + BATCH], memory)
-                    held, size, seen = [(context[:, whole:], classes[whole:])], size - whole, seen + whole
-        if size:
-            network.learn(np.concatenate([c for c, _ in held], axis=1), np.concatenate([c for _, c in held]), memory)
-            seen += size
-        if seen:
-            flat = network.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen))], ["place", "value", "weight"])
-
-    sums = arrow_map(docs.select("text"), run, "place int, value double, weight long").groupBy("place").agg((F.sum("value") / F.sum("weight")).alias("value")).toArrow()
-    if not sums.num_rows:
-        return start
-    flat = np.zeros(len(start.flat()), dtype=np.float32)
-    flat[sums["place"].to_numpy()] = sums["value"].to_numpy()
-    return start.filled(flat)
+                doc, wide = tokens(chunk)
+                bins = lexicon.bins(wide)
+                around, use = contexts(doc, lexicon.row[bins], lexicon.rows), turn(doc, bins) == nth
+                which = of[chunk.first : chunk.first + chunk.rows][doc]
+                for name in np.unique(which).tolist():
+                    if name != now:
+                        if shard:
+                            yield shard.result()
+                        shard, now = Shard(start), name
+                    at = np.flatnonzero(use & (which == name))
+                    shard.add(around[:, at], lexicon.leaf[bins[at]].astype(np.int64), n[doc[at] + chunk.first])
+        if shard:
+            yield shard.result()
+
+    names = [f"v{k}" for k in range(WIDTH)]
+    learnt = arrow_map(shards, run, f"line int, {', '.join(f'{v} float' for v in names)}, weight long")
+    sums = learnt.groupBy("line").agg(*((F.sum(F.col(v).cast("double") * F.col("weight")) / F.sum("weight")).alias(v) for v in names)).toArrow()
+    lines, _ = start.listed()
+    lines[sums["line"].to_numpy()] = np.stack([sums[v].to_numpy() for v in names], axis=1)
+    return start.filled(lines)
 
 
 def fit(docs: DataFrame) -> tuple[Network, Lexicon]:
     """The network and lexicon of a corpus (a text column named text)."""
-    filled = docs.where("text IS NOT NULL")
-    lexicon = Lexicon.of(counts(filled))
-    network = Network.start()
+    shards = sharded(docs)
+    lexicon = Lexicon.of(*counts(shards))
+    network = Network.start(lexicon.rows)
     for nth in range(ROUNDS):
-        network = trained(filled, lexicon, network, nth)
+        network = trained(shards, lexicon, network, nth)
+    drop(shards)
     return network, lexicon
 
 
@@ -236,12 +373,13 @@ def score(docs: DataFrame, model: tuple[Network, Lexicon], text: str = "text", o
         for texts in batches:
             total, n = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
             for chunk in chunks(texts, CHUNK):
-                doc, bins = tokens(chunk)
-                around = vectors(contexts(doc, bins))
-                logs = np.empty(len(bins))
+                doc, wide = tokens(chunk)
+                bins = lexicon.bins(wide)
+                around, leaves = contexts(doc, lexicon.row[bins], lexicon.rows), lexicon.leaf[bins].astype(np.int64)
+                logs = lexicon.log_within[bins].astype(np.float64)
                 for at in range(0, len(bins), 1 << 14):
                     part = slice(at, at + (1 << 14))
-                    logs[part] = network.log_class(around[:, part], lexicon.classes[bins[part]]) + lexicon.log_within[bins[part]]
+                    logs[part] += network.log_leaf(around[:, part], leaves[part])
                 rows = slice(chunk.first, chunk.first + chunk.rows)
                 total[rows], n[rows] = np.bincount(doc, weights=logs, minlength=chunk.rows), np.bincount(doc, minlength=chunk.rows)
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)

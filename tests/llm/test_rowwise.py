@@ -449,38 +449,98 @@ def test_lm_scores_against_brute_force(spark, corpus, odd, nothing):
     docs, _ = corpus
     network, lexicon = op8_lm.fit(docs)
     for r in op8_lm.score(docs.limit(5), (network, lexicon)).collect() + op8_lm.score(odd.where("doc_id IS NULL OR doc_id < 5 OR doc_id > 6"), (network, lexicon)).collect():
-        doc, bins = next((op8_lm.tokens(c) for c in chunks(pa.array([r.text or ""]))), (np.zeros(0), np.zeros(0, int)))
+        wide = next((op8_lm.tokens(c)[1] for c in chunks(pa.array([r.text or ""]))), np.zeros(0, int))
+        bins = [int(w) >> (op8_lm.WIDEST - lexicon.bits) for w in wide]
         total = 0.0
         for i, b in enumerate(bins):
-            around = [bins[j] & (op8_lm.VECTORS - 1) if 0 <= j < len(bins) else op8_lm.VECTORS for j in (i - 2, i - 1, i + 1, i + 2)]
+            around = [lexicon.row[bins[j]] if 0 <= j < len(bins) else lexicon.rows for j in (i - 2, i - 1, i + 1, i + 2)]
             hidden = np.tanh(network.hidden_bias + sum(network.embedding[v] @ network.hidden[k] for k, v in enumerate(around)))
-            logits = hidden @ network.out + network.out_bias
-            total += logits[lexicon.classes[b]] - np.log(np.exp(logits).sum()) + lexicon.log_within[b]
+            top, leaf = hidden @ network.top + network.top_bias, int(lexicon.leaf[b])
+            inner = hidden @ network.leaf[leaf // 64] + network.leaf_bias[leaf // 64]
+            total += top[leaf // 64] - np.log(np.exp(top).sum()) + inner[leaf % 64] - np.log(np.exp(inner).sum()) + lexicon.log_within[b]
         assert r.lm.n_tokens == len(bins) and abs(r.lm.log_likelihood - total) <= 1e-3 * max(1, abs(total))
         assert (r.lm["mean"] is None) == (len(bins) == 0)
-    mass = np.bincount(lexicon.classes, weights=np.exp(lexicon.log_within.astype(np.float64)), minlength=op8_lm.CLASSES)
+    mass = np.bincount(lexicon.leaf, weights=np.exp(lexicon.log_within.astype(np.float64)), minlength=op8_lm.LEAVES)
     assert np.allclose(mass[mass > 0], 1, atol=1e-3)
     assert op8_lm.score(nothing, op8_lm.fit(nothing)).count() == 0
 
 
-def test_lm_trains_on_every_place(spark, corpus, monkeypatch):
-    docs = corpus[0].where("doc_id < 40").select("text").coalesce(1)
-    texts = docs.toArrow()
-    learnt = []
+def test_lm_gradients():
+    """The loss is the weighted mean of log_leaf, and the gradients agree with differences."""
+    rng = np.random.default_rng(6)
+    network = op8_lm.Network(*(p.astype(np.float64) for p in op8_lm.Network.start(30).parts()))
+    context, leaves, weights = rng.integers(0, 31, (4, 50)), rng.integers(0, 200, 50), rng.integers(1, 5, 50).astype(float)
+    loss, rows, g_rows, dense, by_class = network.gradients(context, leaves, weights)
+    assert abs(loss + (network.log_leaf(context, leaves) * weights).sum() / weights.sum()) < 1e-6
+    whole = [np.zeros_like(p) for p in network.parts()]
+    whole[0][rows] = g_rows
+    whole[1:5] = dense
+    for c, (g, g_bias) in by_class.items():
+        whole[5][c], whole[6][c] = g, g_bias
+    for p, g in zip(network.parts(), whole, strict=True):
+        for _ in range(10):
+            at = tuple(rng.integers(0, n) for n in (p.shape if p.shape[0] != 64 else (4, *p.shape[1:])))
+            held, ends = p[at], []
+            for step in (1e-5, -1e-5):
+                p[at] = held + step
+                ends.append(network.gradients(context, leaves, weights)[0])
+            p[at] = held
+            assert abs(g[at] - (ends[0] - ends[1]) / 2e-5) < 1e-5
+    lines, of = network.listed()
+    assert len(lines) == len(of) and all((a == b).all() for a, b in zip(network.filled(lines).parts(), (p.astype(np.float32) for p in network.parts()), strict=True))
 
-    def here(df, run, ddl):
-        return spark.createDataFrame([r for b in run(iter(texts.to_batches(max_chunksize=7))) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)], ddl)
 
-    monkeypatch.setattr(op8_lm, "arrow_map", here)
-    monkeypatch.setattr(op8_lm.Network, "learn", lambda self, context, classes, memory: learnt.extend(zip(map(tuple, context.T.tolist()), classes.tolist(), strict=True)))
-    _, lexicon = op8_lm.fit(docs)
+def test_lm_trains_on_every_place(spark, corpus, monkeypatch):
+    """Each place of each text is a target once, with the number of the text's rows as its weight."""
+    docs = corpus[0].where("doc_id < 40").select("text")
+    docs = docs.union(docs.limit(15)).union(docs.limit(15)).repartition(5)
+    monkeypatch.setattr(op8_lm, "SHARD_BYTES", 4000)
+    shards = op8_lm.sharded(docs)
+    table = shards.toArrow()
+    seen = {}
+    for r in docs.collect():
+        seen[r.text] = seen.get(r.text, 0) + 1
+    assert dict(zip(table["text"].to_pylist(), table["n"].to_pylist(), strict=True)) == seen and max(seen.values()) == 3 and len(set(table["shard"].to_pylist())) > 3
+    learnt, nets = [], []
+    monkeypatch.setattr(op8_lm, "arrow_map", lambda df, run, ddl: spark.createDataFrame([r for b in run(iter(df.toArrow().to_batches(max_chunksize=7))) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)], ddl))
+    monkeypatch.setattr(op8_lm.Network, "learn", lambda self, context, leaves, weights, memory: (nets.append(self), learnt.extend(zip(map(tuple, context.T.tolist()), leaves.tolist(), weights.tolist(), strict=True))))
+    lexicon = op8_lm.Lexicon.of(*op8_lm.counts(shards))
+    for nth in range(op8_lm.ROUNDS):
+        op8_lm.trained(shards, lexicon, op8_lm.Network.start(lexicon.rows), nth)
     want = []
-    for chunk in chunks(texts["text"]):
-        doc, bins = op8_lm.tokens(chunk)
-        want += zip(map(tuple, op8_lm.vectors(op8_lm.contexts(doc, bins)).T.tolist()), lexicon.classes[bins].tolist(), strict=True)
+    for text, n in seen.items():
+        doc, wide = op8_lm.tokens(next(chunks(pa.array([text]))))
+        bins = lexicon.bins(wide)
+        want += zip(map(tuple, op8_lm.contexts(doc, lexicon.row[bins], lexicon.rows).T.tolist()), lexicon.leaf[bins].tolist(), [float(n)] * len(bins), strict=True)
     assert len(want) > 1000 and sorted(learnt) == sorted(want)
 
 
+def test_lm_does_not_depend_on_the_layout(spark, corpus, monkeypatch):
+    docs = corpus[0].select("doc_id", "text")
+    docs = docs.union(docs.where("doc_id < 100")).union(docs.where("doc_id < 3"))
+    monkeypatch.setattr(op8_lm, "SHARD_BYTES", 40_000)
+    one, other = ({r.doc_id: r.lm["mean"] for r in op8_lm.score(docs, op8_lm.fit(docs.repartition(n, key))).collect()} for n, key in ((1, "doc_id"), (7, "text")))
+    assert len(one) == 300 and all(abs(one[i] - other[i]) < 1e-4 for i in one)
+
+
+def test_lm_lexicon_grows_with_the_corpus():
+    rng = np.random.default_rng(7)
+    made = [op8_lm.Lexicon.of(w := np.unique(rng.integers(0, 1 << op8_lm.WIDEST, n)), rng.zipf(1.5, len(w)).clip(max=10**6)) for n in (100, 10_000, 400_000)]
+    assert [x.bits for x in made] == [12, 15, 20] and [x.rows for x in made] == [1024, 2048, 65536]
+    for x in made:
+        assert np.allclose(np.bincount(x.leaf, np.exp(x.log_within.astype(float)), op8_lm.LEAVES)[np.unique(x.leaf)], 1, atol=1e-3) and x.row.max() < x.rows
+
+
+def test_lm_context_beats_the_unigram(spark):
+    """On texts that were not trained on, words that their neighbours foretell have more than their own frequency."""
+    rng = random.Random(9)
+    text = lambda: " ".join(w for _ in range(40) for k in [rng.randrange(30)] for w in (f"a{k}", f"b{k}", f"c{k}"))
+    docs = spark.createDataFrame([(i, text()) for i in range(300)], "doc_id long, text string")
+    network, lexicon = model = op8_lm.fit(docs.where("doc_id >= 20"))
+    mean = op8_lm.score(docs.where("doc_id < 20"), model).agg(F.sum("lm.log_likelihood") / F.sum("lm.n_tokens")).first()[0]
+    assert mean > -np.log(90) + 1.5
+
+
 def test_lm_prefers_the_corpus(spark, corpus):
     docs, _ = corpus
     model = op8_lm.fit(docs)
