@@ -1,8 +1,9 @@
 """Data evolution: new columns, computed for each fragment and committed as one merge.
 
-SQL expressions stay in the JVM; an Arrow function runs over batches of at most `batch_size` rows that never span
-two files, as every input file is one partition. A fragment is written anew with its columns
-appended, row by row in the same order, so deleted rows keep their places.
+SQL expressions stay in the JVM; an Arrow function runs over batches of at most `batch_size` rows. Only the new columns
+are written, a file for each fragment with a row for each of its rows in the same order, so deleted rows
+keep their places and no old column is read that the transform doesn't name, or written at all. Reads join such files
+by row id; compaction with `fold_columns` makes one file of them again.
 """
 
 from __future__ import annotations
@@ -35,10 +36,13 @@ def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+_PLACE = ["_fragment", "_index"]
+
+
 def _appender(transform: Callable, read_columns: list[str] | None, new: pa.Schema) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = batch.drop_columns(["_fragment", "_index"])
+            data = batch.drop_columns(_PLACE)
             got = _as_table(transform(data.select(read_columns) if read_columns else data))
             if got.num_rows != batch.num_rows:
                 raise ValueError(f"the transform returned {got.num_rows} rows for {batch.num_rows}")
@@ -46,7 +50,7 @@ def _appender(transform: Callable, read_columns: list[str] | None, new: pa.Schem
                 raise ValueError(f"the transform returned columns {got.schema.names}, not {new.names}")
             columns = [got.column(n).cast(new.field(n).type) for n in new.names]
             columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *new.names])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _PLACE), *columns], [*_PLACE, *new.names])
 
     return run
 
@@ -95,22 +99,29 @@ def add_columns(
     before = {f.id: f for f in made.fragments}
     folder = f"data/{uuid.uuid4().hex}"
     with _settings(spark, {"spark.sql.files.maxPartitionBytes": one_file, "spark.sql.files.openCostInBytes": one_file, "spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_size)}):
-        rows = reader._with_row_ids(spark, location, made.schema, list(made.fragments))
+        function = not isinstance(transform, (dict, DataFrame))
+        read = T.StructType([made.schema[c] for c in read_columns]) if function and read_columns else T.StructType() if isinstance(transform, DataFrame) else made.schema
+        rows = reader._with_row_ids(spark, location, read, list(made.fragments))
         rows = rows.withColumns({"_fragment": F.shiftright(reader.ROW_ID, 32), "_index": F.col(reader.ROW_ID).bitwiseAND(0xFFFFFFFF)}).drop(reader.ROW_ID)
         if isinstance(transform, dict):
-            _check_new(made, list(transform))
+            names = list(transform)
+            _check_new(made, names)
             wide = rows.withColumns({name: F.expr(sql) for name, sql in transform.items()})
         elif isinstance(transform, DataFrame):
-            _check_new(made, [c for c in transform.columns if c not in (reader.ROW_ID, "_fragment", "_index")])
+            names = [c for c in transform.columns if c not in (reader.ROW_ID, *_PLACE)]
+            _check_new(made, names)
             wide = _attached(rows, transform)
         else:
             new = reader_schema or _tried(rows, transform, read_columns)
-            _check_new(made, new.names)
-            types = T.StructType([*rows.schema.fields, *from_arrow_schema(new).fields])
+            names = new.names
+            _check_new(made, names)
+            types = T.StructType([*(rows.schema[c] for c in _PLACE), *from_arrow_schema(new).fields])
             wide = rows.mapInArrow(_appender(transform, read_columns, new), types)
-        fresh = [f for f in wide.schema.fields if f.name not in ("_fragment", "_index")]
-        # No shuffle: each task holds whole files, and writes each fragment's rows in order to a folder of its own.
-        ordered = wide.sortWithinPartitions("_fragment", "_index").select("_fragment", *(F.col(f"`{f.name}`") for f in fresh))
+        wide = wide.select(*_PLACE, *(F.col(f"`{c}`") for c in names))
+        # Where whole files are read in a task each there is no shuffle; joined rows are dealt by fragment, with the new columns only.
+        if isinstance(transform, DataFrame) or any(f.columns for f in made.fragments):
+            wide = wide.repartition(len(made.fragments), "_fragment")
+        ordered = wide.sortWithinPartitions(*_PLACE).select("_fragment", *(F.col(f"`{c}`") for c in names))
         ordered.write.partitionBy("_fragment").parquet(f"{location}/{folder}")
     found: dict[int, list[tuple[str, int, int]]] = {}
     for name, n, size in file_rows(spark, f"{location}/{folder}"):
@@ -120,9 +131,9 @@ def add_columns(
         files = found.get(i, [])
         if len(files) != 1 or files[0][1] != f.rows:
             raise RuntimeError(f"fragment {i} has {f.rows} rows, its new columns {[n for _, n, _ in files]}")
-        name, n, size = files[0]
-        after.append(manifest.replace(f, path=f"{folder}/{name}", rows=n, bytes=size))
-    schema = T.StructType(fresh)
+        name, _, size = files[0]
+        after.append(manifest.replace(f, bytes=(f.bytes or 0) + size, columns=(*f.columns, (f"{folder}/{name}", tuple(names)))))
+    schema = T.StructType([*made.schema.fields, *(wide.schema[c] for c in names)])
     return manifest.commit(spark, location, "Merge", lambda head: manifest.replaced(head, before, after).with_schema(schema))
 
 
@@ -133,9 +144,8 @@ def _check_new(made: manifest.Manifest, names: list[str]) -> None:
 
 def _tried(rows: DataFrame, transform: Callable, read_columns: list[str] | None) -> pa.Schema:
     """The new columns' schema, from a first batch of one row."""
-    data = rows.drop("_fragment", "_index")
-    table = data.select(*read_columns).limit(1).toArrow() if read_columns else data.limit(1).toArrow()
-    got = _as_table(transform(table.cast(to_arrow_schema((data.select(*read_columns) if read_columns else data).schema)).combine_chunks().to_batches()[0]))
+    data = rows.select(*read_columns) if read_columns else rows.drop(*_PLACE)
+    got = _as_table(transform(data.limit(1).toArrow().cast(to_arrow_schema(data.schema)).combine_chunks().to_batches()[0]))
     return got.schema
 
 

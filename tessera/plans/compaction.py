@@ -10,12 +10,13 @@ from tessera.sources.manifest import Fragment
 
 @dataclass(frozen=True)
 class CompactionOptions:
-    """Limits of a compaction; `num_threads` is accepted, Spark decides it."""
+    """Limits of a compaction; `num_threads` is accepted, Spark decides it. `fold_columns` also rewrites fragments with column files."""
 
     target_rows_per_fragment: int = 1_048_576
     materialize_deletions: bool = True
     materialize_deletions_threshold: float = 0.1
     num_threads: int | None = None
+    fold_columns: bool = False
 
     @classmethod
     def of(cls, given: CompactionOptions | dict | None) -> CompactionOptions:
@@ -39,7 +40,7 @@ def plan(fragments: Iterable[Fragment], options: CompactionOptions) -> list[list
     """Groups to rewrite as one fragment each, in id order."""
 
     def crowded(f: Fragment) -> bool:
-        return options.materialize_deletions and f.rows > 0 and f.deleted_rows / f.rows > options.materialize_deletions_threshold
+        return options.fold_columns and bool(f.columns) or options.materialize_deletions and f.rows > 0 and f.deleted_rows / f.rows > options.materialize_deletions_threshold
 
     groups: list[list[Fragment]] = [[]]
     total = 0

@@ -31,7 +31,10 @@ class ConflictError(RuntimeError):
 
 @dataclass(frozen=True)
 class Fragment:
-    """One Parquet file (path relative to the table) and the rows deleted from it."""
+    """One Parquet file (path relative to the table), the files of columns added since, and the rows deleted from it.
+
+    A column file (path, names) has the same rows in the same order.
+    """
 
     id: int
     path: str
@@ -39,6 +42,7 @@ class Fragment:
     bytes: int | None = None
     deletions: tuple[str, ...] = ()
     deleted_rows: int = 0
+    columns: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
     @property
     def live_rows(self) -> int:
@@ -86,7 +90,7 @@ class Manifest:
     @classmethod
     def loads(cls, text: str) -> Manifest:
         raw = json.loads(text)
-        raw["fragments"] = tuple(Fragment(**f | {"deletions": tuple(f["deletions"])}) for f in raw["fragments"])
+        raw["fragments"] = tuple(Fragment(**f | {"deletions": tuple(f["deletions"]), "columns": tuple((p, tuple(n)) for p, n in f.get("columns", ()))}) for f in raw["fragments"])
         raw["indices"] = tuple(IndexMeta(**i | {k: tuple(i.get(k, ())) for k in ("fields", "fragment_ids", "built")}) for i in raw["indices"])
         return cls(**raw)
 

@@ -1,7 +1,8 @@
 """Reading: a version's live fragments as one native Parquet scan.
 
 Projection and filter stay ordinary DataFrame operations, so Catalyst prunes columns and pushes the
-filter into the scan. Fragments with deleted rows are read apart from the others, and only they take
+filter into the scan. Columns that were added later lie in files of their own: where a read names its columns, only
+the files that hold them are read, and rows of several files are joined by their row id. Fragments with deleted rows are read apart from the others, and only they take
 part in the anti join with the deletion files.
 """
 
@@ -35,17 +36,36 @@ def _short(path: Column) -> Column:
     return F.substring_index(path, "/", -2)
 
 
-def _with_row_ids(spark: SparkSession, uri: str, schema: StructType, fragments: list[Fragment]) -> DataFrame:
-    """The scan with (fragment id << 32) | row index as `_rowid`; a file is known by its last two path parts."""
-    scan = _scan(spark, uri, schema, fragments).select("*", F.url_decode(_short(F.col("_metadata.file_path"))).alias("_file"), F.col("_metadata.row_index").alias("_index"))
-    if len(fragments) == 1:
-        ids = scan.withColumn("_fragment", F.lit(fragments[0].id).cast("long"))
+def _files_with_row_ids(spark: SparkSession, uri: str, schema: StructType, files: list[tuple[int, str]]) -> DataFrame:
+    """Columns of some (fragment id, path) with (fragment id << 32) | row index as `_rowid`; a file is known by its last two path parts."""
+    scan = spark.read.schema(schema).parquet(*(f"{uri}/{path}" for _, path in files)).select("*", F.url_decode(_short(F.col("_metadata.file_path"))).alias("_file"), F.col("_metadata.row_index").alias("_index"))
+    if len(files) == 1:
+        ids = scan.withColumn("_fragment", F.lit(files[0][0]).cast("long"))
     else:
-        known = spark.createDataFrame([("/".join(f.path.split("/")[-2:]), f.id) for f in fragments], "_file string, _fragment long")
-        ids = scan.join(bounded(known, len(fragments)), "_file")
+        known = spark.createDataFrame([("/".join(path.split("/")[-2:]), i) for i, path in files], "_file string, _fragment long")
+        ids = scan.join(bounded(known, len(files)), "_file")
     return ids.select(*(F.col(f"`{f.name}`") for f in schema.fields), (F.shiftleft("_fragment", 32) + F.col("_index")).alias(ROW_ID))
 
 
+def _with_row_ids(spark: SparkSession, uri: str, schema: StructType, fragments: list[Fragment]) -> DataFrame:
+    """The scan with `_rowid`. Column files that hold none of the schema's columns aren't read, others are joined by `_rowid`."""
+    kinds: dict[tuple, list[Fragment]] = {}
+    for f in fragments:
+        kinds.setdefault(tuple(names for _, names in f.columns), []).append(f)
+    frames = []
+    for layout, alike in kinds.items():
+        added = [set(names) for names in layout]
+        own = [f for f in schema.fields if not any(f.name in names for names in added)]
+        parts = [([f for f in schema.fields if f.name in names], k) for k, names in enumerate(added)]
+        parts = [(fields, k) for fields, k in parts if fields]
+        scans = [_files_with_row_ids(spark, uri, StructType(fields), [(f.id, f.columns[k][0]) for f in alike]) for fields, k in parts]
+        if own or not scans:
+            scans.insert(0, _files_with_row_ids(spark, uri, StructType(own), [(f.id, f.path) for f in alike]))
+        whole = reduce(lambda one, other: one.join(other, ROW_ID), scans)
+        frames.append(whole.select(*(F.col(f"`{f.name}`") for f in schema.fields), ROW_ID))
+    return reduce(DataFrame.union, frames)
+
+
 def deletions(spark: SparkSession, uri: str, fragments: list[Fragment]) -> DataFrame:
     """Row ids deleted from the fragments."""
     files = sorted({f"{uri}/{d}" for f in fragments for d in f.deletions})
@@ -57,14 +77,20 @@ def live(spark: SparkSession, uri: str, schema: StructType, fragments: list[Frag
     if not fragments:
         empty = spark.createDataFrame([], schema)
         return empty.withColumn(ROW_ID, F.lit(None).cast("long")) if row_ids else empty
+    names = [F.col(f"`{f.name}`") for f in schema.fields]
     whole, cut = [f for f in fragments if not f.deletions], [f for f in fragments if f.deletions]
-    parts = []
+    if not row_ids:
+        plain, whole = [f for f in whole if not f.columns], [f for f in whole if f.columns]
+    else:
+        plain = []
+    parts = [_scan(spark, uri, schema, plain)] if plain else []
     if whole:
-        parts.append(_with_row_ids(spark, uri, schema, whole) if row_ids else _scan(spark, uri, schema, whole))
+        rows = _with_row_ids(spark, uri, schema, whole)
+        parts.append(rows if row_ids else rows.select(*names))
     if cut:
         gone = deletions(spark, uri, cut)
         kept = _with_row_ids(spark, uri, schema, cut).join(bounded(gone, sum(f.deleted_rows for f in cut)), ROW_ID, "left_anti")
-        parts.append(kept.select(*(F.col(f"`{f.name}`") for f in schema.fields), *([ROW_ID] if row_ids else [])))
+        parts.append(kept.select(*names, *([ROW_ID] if row_ids else [])))
     return reduce(DataFrame.union, parts)
 
 
@@ -121,7 +147,7 @@ def read_table(
     if predicate is not None:
         fragments = fragments_for(spark, location, made, fragments, predicate)
     row_ids = bool(options.get("with_row_id"))
-    df = live(spark, location, made.schema, fragments, row_ids)
+    df = live(spark, location, _needed(spark, made.schema, columns, predicate), fragments, row_ids)
     if predicate is not None:
         df = df.where(predicate)
     if columns is not None:
@@ -132,6 +158,21 @@ def read_table(
     return df.coalesce(concurrency) if concurrency else df
 
 
+def _needed(spark: SparkSession, schema: StructType, columns: list[str] | None, predicate: str | None) -> StructType:
+    """The fields that a read speaks of; all if it names no columns."""
+    from tessera.plans.prune import conjuncts
+
+    if columns is None:
+        return schema
+    spoken = {c.lower() for c in columns}
+    if predicate is not None:
+        named = set().union(*(names for names, _ in conjuncts(spark, predicate)))
+        spoken |= {n.lower() for n in named} | {n.split(".")[0].lower() for n in named}
+        if "subquery" in predicate.lower() or "select" in predicate.lower():
+            return schema
+    return StructType([f for f in schema.fields if f.name.lower() in spoken])
+
+
 def _searched(spark: SparkSession, uri: str, version: int, columns: list[str] | None, predicate: str | None, options: dict) -> DataFrame:
     """The rows of a search given as scanner options, without its score."""
     from tessera.operators import search

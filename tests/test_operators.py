@@ -44,6 +44,30 @@ def test_add_columns(spark, tmp_path):
         t.add_columns(spark, uri, transform=lambda b: b.select(["id"]).rename_columns(["y"]).slice(0, 1))
 
 
+def test_added_columns_lie_in_files_of_their_own(spark, tmp_path):
+    uri = str(tmp_path / "a")
+    table(spark, uri)
+    first = t.Table(spark, uri)
+    t.add_columns(spark, uri, transform={"twice": "score * 2", "odd": "id % 2 = 1"})
+    t.add_columns(spark, uri, transform={"more": "twice + id"})
+    made = t.Table(spark, uri)
+    assert [f.path for f in made.fragments()] == [f.path for f in first.fragments()] and [len(f.columns) for f in made.fragments()] == [2, 2, 2]
+    files = lambda **o: {name.split("/_fragment=")[0].rsplit("/", 1)[1] for name in t.read_table(spark, uri, **o).inputFiles()}
+    folders = [f.columns[k][0].split("/")[1] for f in made.fragments()[:1] for k in (0, 1)]
+    assert files(columns=["twice"], filter="odd") == {folders[0]} and files(columns=["more"]) == {folders[1]}
+    assert not files(columns=["id"]) & set(folders) and set(folders) < files()
+    assert sorted(r.id for r in t.read_table(spark, uri, columns=["id"], filter="odd AND more > 200").collect()) == [i for i in range(60) if i % 2 and 4 * i > 200]
+    t.write_table(t.read_table(spark, uri).where("id < 3"), uri, mode="append")
+    made = t.create_scalar_index(spark, uri, column="more", index_type="BTREE").delete("more = 40")
+    assert made.count_rows() == 62 and made.to_df(filter="more >= 228").count() == 3
+    assert [tuple(r) for r in made.take([58, 9], ["id", "more"]).collect()] == [(59, 236.0), (9, 36.0)]
+    want = sorted(map(tuple, made.to_df().collect()))
+    t.compact_files(spark, uri, compaction_options={"target_rows_per_fragment": 1, "fold_columns": True, "materialize_deletions": False})
+    made = t.Table(spark, uri)
+    assert not any(f.columns for f in made.fragments()) and sorted(map(tuple, made.to_df().collect())) == want
+    assert first.to_df().columns == ["id", "text", "score"] and first.to_df().count() == 60
+
+
 @pytest.mark.parametrize(("fragments", "rows", "target", "expected"), [(2, 10, 100, (2, 1)), (40, 5, 20, (40, 10)), (1, 100, 100, None)])
 def test_compaction(spark, tmp_path, fragments, rows, target, expected):
     uri = str(tmp_path / "a")
