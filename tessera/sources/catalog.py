@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 from functools import lru_cache
 from typing import Protocol
+from urllib.error import HTTPError
+from urllib.parse import quote
+from urllib.request import Request, urlopen
 
 from pyspark.sql import SparkSession
 
@@ -45,7 +49,43 @@ class DirCatalog:
         return uri
 
 
-_makers: dict[str, Callable[[dict[str, str]], Catalog]] = {"dir": lambda props: DirCatalog(props["root"])}
+class RestCatalog:
+    """A catalog server: JSON over HTTP, POST v1/table/<id>/describe and v1/table/<id>/declare.
+
+    Properties: `uri` of the server, `delimiter` between the parts of an id ("$"), and `header.<name>` for headers. An answer has
+    the table's `location` and may have `storage_options`, which are renewed before they end.
+    """
+
+    def __init__(self, properties: dict[str, str]) -> None:
+        self.uri, self.delimiter = properties["uri"].rstrip("/"), properties.get("delimiter", "$")
+        self.headers = {k.removeprefix("header."): v for k, v in properties.items() if k.startswith("header.")}
+
+    def _post(self, table_id: tuple[str, ...], action: str, body: dict) -> dict:
+        name = quote(self.delimiter.join(table_id), safe="")
+        data = json.dumps(body | {"id": list(table_id)}).encode()
+        request = Request(f"{self.uri}/v1/table/{name}/{action}", data, {"Content-Type": "application/json", **self.headers}, method="POST")
+        try:
+            with urlopen(request, timeout=60) as answer:
+                return json.load(answer)
+        except HTTPError as e:
+            if e.code == 404:
+                raise LookupError(f"table {'.'.join(table_id)} was not found at {self.uri}") from e
+            raise
+
+    def _ask(self, spark: SparkSession, table_id: tuple[str, ...], action: str, body: dict) -> str:
+        found = self._post(table_id, action, body)
+        location = found["location"].rstrip("/")
+        storage.grant(spark, location, found.get("storage_options"), lambda: self._post(table_id, "describe", {}).get("storage_options") or {})
+        return location
+
+    def describe(self, spark: SparkSession, table_id: tuple[str, ...]) -> str:
+        return self._ask(spark, table_id, "describe", {})
+
+    def declare(self, spark: SparkSession, table_id: tuple[str, ...], location: str | None = None) -> str:
+        return self._ask(spark, table_id, "declare", {"location": location} if location else {})
+
+
+_makers: dict[str, Callable[[dict[str, str]], Catalog]] = {"dir": lambda props: DirCatalog(props["root"]), "rest": RestCatalog}
 
 
 def register(name: str, make: Callable[[dict[str, str]], Catalog]) -> None:

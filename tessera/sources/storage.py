@@ -3,13 +3,42 @@
 from __future__ import annotations
 
 import os
+import time
 import uuid
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 from pyspark.sql import SparkSession
 
 
+#: Storage options that end: by the uri's beginning, when to ask anew and how.
+_grants: dict[str, tuple[float, Callable[[], dict[str, str]]]] = {}
+#: Seconds before their end at which options are renewed, and the key that names it (milliseconds since 1970).
+EARLY = 60.0
+EXPIRES = "expires_at_millis"
+
+
+def grant(spark: SparkSession, uri: str, options: dict[str, str] | None, renew: Callable[[], dict[str, str]]) -> None:
+    """Hand a table's storage options to the session's file systems, and ask `renew` for new ones before they end."""
+    given = {k: str(v) for k, v in (options or {}).items()}
+    for key, value in given.items():
+        if key != EXPIRES:
+            spark.sparkContext._jsc.hadoopConfiguration().set(key, value)
+    if EXPIRES in given:
+        _grants[uri] = (int(given[EXPIRES]) / 1000 - EARLY, renew)
+    else:
+        _grants.pop(uri, None)
+
+
+def renewed(spark: SparkSession, uri: str) -> None:
+    """Renew the options of the table that a file belongs to, if they are about to end."""
+    for table, (due, renew) in list(_grants.items()):
+        if uri.startswith(table) and time.time() >= due:
+            grant(spark, table, renew(), renew)
+
+
 def _path(spark: SparkSession, uri: str):  # noqa: ANN202
+    renewed(spark, uri)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 

@@ -140,6 +140,48 @@ def test_addresses(spark, people, tmp_path):
     assert t.Table(spark, **place).count_rows() == 5
 
 
+def test_rest_catalog(spark, people, tmp_path):
+    """Tables by a server's answers; storage options are handed on and renewed before they end."""
+    import http.server
+    import json
+    import threading
+    import time
+
+    known, asked = {}, []
+
+    class Server(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            name, action = self.path.split("/")[-2:]
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((name, action, self.headers["x-key"]))
+            if action == "declare":
+                known[name] = body.get("location") or f"{tmp_path}/{name}"
+            made = {"location": known.get(name), "storage_options": {"fs.test.token": str(len(asked)), "expires_at_millis": int(1000 * (time.time() + 61))}}
+            self.send_response(200 if name in known else 404)
+            self.end_headers()
+            self.wfile.write(json.dumps(made).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    address = {"namespace_impl": "rest", "namespace_properties": {"uri": f"http://127.0.0.1:{server.server_port}", "header.x-key": "me"}, "table_id": ["sales", "people"]}
+    try:
+        with pytest.raises(LookupError):
+            t.read_table(spark, **address)
+        t.write_table(people, **address)
+        assert t.read_table(spark, **address).count() == 5 and known == {"sales%24people": f"{tmp_path}/sales%24people"}
+        token = lambda: int(spark.sparkContext._jsc.hadoopConfiguration().get("fs.test.token"))
+        before = token()
+        time.sleep(1.5)
+        assert t.Table(spark, f"{tmp_path}/sales%24people").count_rows() == 5 and token() > before
+        assert {x[1:] for x in asked} == {("describe", "me"), ("declare", "me")}
+    finally:
+        server.shutdown()
+        storage._grants.clear()
+
+
 def test_delete_take_and_count(spark, people, tmp_path):
     uri = str(tmp_path / "a")
     t.write_table(people.union(spark.createDataFrame([(6, None, None, None)], SCHEMA)).orderBy("id").coalesce(1), uri, min_rows_per_file=3, max_rows_per_file=3)
