@@ -21,31 +21,50 @@ def _columns(docs: DataFrame) -> list:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base limits and the rule cascade; null and empty texts go."""
+    """Documents that pass the base limits and the rule cascade.
+
+    Null and empty texts go, as they have no words; of repeated rows each is judged on its own; an empty table gives none;
+    further columns pass, whatever their names.
+    """
     return op3_quality.kept_only(docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected severity stays below the threshold."""
+    """Documents whose expected severity stays below the threshold.
+
+    A null or empty text has the severity that no words have; without labels, or with one grade only, no document goes;
+    repeated rows are scored each on its own; further columns pass, whatever their names.
+    """
     out = unused(docs, "toxicity")
     scored = op9_toxicity.score(docs, read(spark, sf_dir, "labels"), out=out)
     return scored.where(F.col(f"{out}.severity") < op9_toxicity.THRESHOLD).select(*_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the smallest id."""
+    """One document of each class of near copies: the one with the smallest id.
+
+    Rows without doc_id or text stay, as they are compared with nothing; of rows that repeat one document one stays;
+    different texts with one doc_id are judged each on its own; further columns pass, whatever their names.
+    """
     return op6_neardup.one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts stay; an empty benchmark lets all stay; repeated rows are judged each on its own; further
+    columns pass, whatever their names.
+    """
     out = unused(docs, "leaks")
     marked = op7_decontaminate.mark(docs, read(spark, sf_dir, "benchmark"), out=out)
     return marked.where(F.size(out) == 0).select(*_columns(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document."""
+    """What the mix takes of each document: op10's columns instead of those of documents.
+
+    Null texts have size 0; null is a source, the last; an empty table gives no rows.
+    """
     return op10_mixing.mix(docs)
 
 
