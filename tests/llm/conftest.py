@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from samples import SCHEMA, SYLLABLES, odd_rows, prose
+from samples import CLASHES, SCHEMA, SYLLABLES, odd_rows, prose
 
 @pytest.fixture(scope="session")
 def odd(spark):
@@ -29,7 +29,7 @@ def corpus(spark):
         if toxic:
             for _ in range(3):
                 text.insert(rng.randrange(len(text)), rng.choice(["Moronic", "moron!", "zutrash", "zutrashy"]))
-        rows.append((i, " ".join(text), lang, f"s{i % 5}", len(text), "clash", "clash", 7, "clash"))
+        rows.append((i, " ".join(text), lang, f"s{i % 5}", len(text), *CLASHES))
         if i % 3:
             labels.append((i, int(i % 7 > 0), int(toxic)))
     return spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
