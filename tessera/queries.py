@@ -166,6 +166,55 @@ vectors = _table("vectors", _ivf(None))
 ivf = {kind: _table(kind, _ivf(kind, **({"num_sub_vectors": 16} if "PQ" in kind else {}))) for kind in ("IVF_FLAT", "IVF_SQ", "IVF_PQ", "IVF_HNSW_FLAT", "IVF_HNSW_SQ", "IVF_HNSW_PQ")}
 
 
+def _vectors_changed(spark: SparkSession, d: str, uri: str) -> None:
+    """An indexed table of which rows and a whole fragment went, the rest was compacted, and some rows came back."""
+    _ivf("IVF_FLAT")(spark, d, uri)
+    table = t.Table(spark, uri)
+    first = table.to_df(fragment_ids=[table.fragments()[0].id]).agg(F.min("vec_id"), F.max("vec_id")).first()
+    table.delete(f"vec_id % 3 = 0 OR vec_id BETWEEN {first[0]} AND {first[1]}")
+    t.compact_files(spark, uri, compaction_options={"target_rows_per_fragment": 150})
+    t.write_table(source(spark, d, "embeddings").where(f"vec_id BETWEEN {first[0]} AND {first[1]} AND vec_id % 3 <> 0"), uri, mode="append")
+
+
+vectors_changed = _table("vectors changed", _vectors_changed)
+
+
+def _documents_changed(spark: SparkSession, d: str, uri: str) -> None:
+    t.write_table(source(spark, d, "documents").select("doc_id", "text"), uri, min_rows_per_file=200, max_rows_per_file=200)
+    t.create_scalar_index(spark, uri, column="text", index_type="INVERTED", with_position=True)
+    t.Table(spark, uri).delete("doc_id % 4 = 1 OR doc_id < 300")
+    t.compact_files(spark, uri, compaction_options={"target_rows_per_fragment": 100})
+
+
+documents_changed = _table("documents changed", _documents_changed)
+
+
+def _tagged(spark: SparkSession, d: str, uri: str) -> None:
+    rows = source(spark, d, "events").select("event_id", F.array(F.col("event_id") % 7, F.col("user_id") % 5).alias("tags"))
+    t.write_table(rows, uri, min_rows_per_file=1000, max_rows_per_file=1000)
+    t.create_scalar_index(spark, uri, column="tags", index_type="BTREE")
+
+
+tagged = _table("tagged", _tagged)
+
+
+def _folded(spark: SparkSession, d: str, uri: str) -> None:
+    _evolved_sql(spark, d, uri)
+    t.add_columns(spark, uri, transform=t.read_table(spark, uri, columns=["c_custkey"], scanner_options={"with_row_id": True}).select("_rowid", (F.col("c_custkey") + 1).alias("next")))
+    t.compact_files(spark, uri, compaction_options={"fold_columns": True})
+
+
+folded = _table("folded", _folded)
+
+
+def _rolled(spark: SparkSession, d: str, uri: str) -> None:
+    rows = source(spark, d, "events").select("event_id", "user_id").coalesce(1)
+    t.commit_fragments(rows.mapInArrow(t.FragmentWriter(uri, max_rows_per_file=3000), t.FRAGMENT_SCHEMA), uri)
+
+
+rolled = _table("rolled", _rolled)
+
+
 def _bits(spark: SparkSession, d: str, uri: str) -> None:
     rows = source(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: (F.abs(x.cast("double")) * 1000).cast("bigint")).alias("bits"))
     t.write_table(rows, uri)
@@ -233,6 +282,13 @@ _query("fragment_writer_transform", lambda s, d: t.read_table(s, transformed(s,
 _query("catalog_roundtrip", lambda s, d: t.read_table(s, table_id=["sales", "supplier"], namespace_impl="dir", namespace_properties={"root": catalog(s, d)}), "SELECT * FROM supplier")
 _query("add_columns_sql", lambda s, d: t.read_table(s, with_sql(s, d)), "SELECT *, c_acctbal * 2 AS balance2, c_acctbal > 5000 AS rich FROM customer")
 _query("add_columns_udf", lambda s, d: t.read_table(s, with_udf(s, d)), "SELECT *, c_acctbal * 2 AS balance2 FROM customer")
+_query("add_columns_projection", lambda s, d: t.read_table(s, with_sql(s, d), columns=["c_custkey", "rich"], filter="balance2 > 1000"), "SELECT c_custkey, c_acctbal > 5000 AS rich FROM customer WHERE c_acctbal * 2 > 1000")
+_query("add_columns_folded", lambda s, d: t.read_table(s, folded(s, d)), "SELECT *, c_acctbal * 2 AS balance2, c_acctbal > 5000 AS rich, c_custkey + 1 AS next FROM customer")
+_query(
+    "fragment_writer_rolls",
+    lambda s, d: s.createDataFrame([(len(t.Table(s, rolled(s, d)).fragments()), t.Table(s, rolled(s, d)).count_rows())], "fragments long, n long"),
+    "SELECT ceil(count(*) / 3000)::BIGINT AS fragments, count(*) AS n FROM events",
+)
 _query("delete_rows", lambda s, d: t.read_table(s, deleted(s, d)), "SELECT * FROM lineitem WHERE NOT coalesce(l_quantity > 25, false)")
 _query("compact_preserves", lambda s, d: t.read_table(s, compacted(s, d)), f"SELECT {ORDERS} FROM orders")
 _query("compact_after_delete", lambda s, d: t.read_table(s, deleted_compacted(s, d)), "SELECT * FROM lineitem WHERE NOT coalesce(l_quantity > 25, false)")
@@ -251,24 +307,27 @@ for _name, _filter in {
     _query(_name, lambda s, d, f=_filter: t.read_table(s, events(s, d), filter=f), f"SELECT * FROM events WHERE {_filter}")
 _query("btree_string", lambda s, d: t.read_table(s, names(s, d), filter="c_name = 'Customer#000000042'"), "SELECT * FROM customer WHERE c_name = 'Customer#000000042'")
 
+for _name, _filter in {"btree_list": "array_contains(tags, 3)", "btree_other_filters": "exists(tags, x -> x = 3) AND event_id < 500"}.items():
+    _sql_filter = {"btree_list": "list_contains(tags, 3)", "btree_other_filters": "list_contains(tags, 3) AND event_id < 500"}[_name]
+    _query(_name, lambda s, d, f=_filter: t.read_table(s, tagged(s, d), columns=["event_id"], filter=f), f"SELECT event_id FROM (SELECT event_id, [event_id % 7, user_id % 5] AS tags FROM events) WHERE {_sql_filter}")
+
 _TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
 _find = lambda query, **o: lambda s, d: t.full_text_search(t.Table(s, documents(s, d)), query, columns=["doc_id"], **o).drop("_score")
 _query("fts_term", _find("license"), f"SELECT doc_id FROM documents WHERE list_contains({_TOKENS}, 'license')")
 _query("fts_any", _find("license moron"), f"SELECT doc_id FROM documents WHERE list_has_any({_TOKENS}, ['license', 'moron'])")
 _query("fts_all", _find("the MIT", operator="and"), f"SELECT doc_id FROM documents WHERE list_has_all({_TOKENS}, ['the', 'mit'])")
 _query("fts_phrase", _find("the mit license", phrase=True), f"SELECT doc_id FROM documents WHERE contains(' ' || array_to_string({_TOKENS}, ' ') || ' ', ' the mit license ')")
-_query(
-    "fts_bm25_topk",
-    lambda s, d: t.full_text_search(t.Table(s, documents(s, d)), "license moron", columns=["doc_id"], limit=20).select(F.round("_score", 4).alias("score")),
-    f"""
-    WITH w AS (SELECT doc_id, {_TOKENS} AS words FROM documents),
+_top = lambda uri: lambda s, d: t.full_text_search(t.Table(s, uri(s, d)), "license moron", columns=["doc_id"], limit=20).select(F.round("_score", 4).alias("score"))
+_top_sql = lambda kept: f"""
+    WITH w AS (SELECT doc_id, {_TOKENS} AS words FROM documents WHERE {kept}),
     c AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM w),
     q AS (SELECT token, (SELECT count(*) FROM w WHERE list_contains(words, token)) AS df FROM (VALUES ('license'), ('moron')) AS v(token)),
     p AS (SELECT doc_id, token, df, len(list_filter(words, lambda x: x = token)) AS tf, len(words) AS size FROM w, q)
     SELECT round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 4) AS score
     FROM p, c WHERE tf > 0 GROUP BY doc_id ORDER BY score DESC LIMIT 20
-    """,
-)
+    """
+_query("fts_bm25_topk", _top(documents), _top_sql("true"))
+_query("fts_bm25_after_changes", _top(documents_changed), _top_sql("NOT coalesce(doc_id % 4 = 1 OR doc_id < 300, false)"))
 
 _POINT = "[" + ", ".join(str(x) for x in POINT) + "]::DOUBLE[]"
 _V = "embedding::DOUBLE[]"
@@ -297,6 +356,7 @@ _query(
 for _kind, _uri in ivf.items():
     _all = {"nprobes": 4} if "FLAT" in _kind else {"nprobes": 4, "refine_factor": 50}
     _query(f"{_kind.lower()}_all_probes", _near(_uri, **_all), _near_sql(_DISTANCES["l2"]))
+_query("ivf_after_changes", _near(vectors_changed, nprobes=4), f"SELECT vec_id, round({_DISTANCES['l2']}, 4) AS distance FROM embeddings WHERE vec_id % 3 <> 0 ORDER BY {_DISTANCES['l2']}, vec_id LIMIT 10")
 _query("fragment_stats", lambda s, d: s.createDataFrame([(sum(f.rows for f in t.Table(s, two(s, d)).fragments()),)], "n long"), "SELECT count(*) AS n FROM orders")
 _query(
     "list_indices",
