@@ -82,6 +82,83 @@ def test_license_tags(spark):
     assert x.labels == "cc-by-nc,mit,proprietary" and x.score == 0.0 and {f.kind for f in x.findings} == {"base", "tag", "notice"}
 
 
+def descend(tokens):
+    """(freedom, labels) of a whole expression by recursive descent; None if it has a fault."""
+    at = 0
+
+    def peek():
+        return tokens[at].lower() if at < len(tokens) else None
+
+    def atom():
+        nonlocal at
+        token = peek()
+        at += 1
+        if token == "(":
+            value = either()
+            at += 1
+            return value if tokens[at - 1 : at] == [")"] else None
+        return None if token in (None, ")", "and", "or", "with") else (op1_license.FREEDOM.get(op1_license.family(token), op1_license.UNKNOWN_FREEDOM), [op1_license.family(token)])
+
+    def chain(names, part, join):
+        nonlocal at
+        value = part()
+        while value and peek() in names:
+            at += 1
+            other = part()
+            value = other and join(value, other)
+        return value
+
+    def relaxed():
+        return chain({"with"}, atom, lambda a, b: (min(1.0, a[0] + op1_license.EXCEPTION_BONUS), a[1]))
+
+    def both():
+        return chain({"and"}, relaxed, lambda a, b: (min(a[0], b[0]), a[1] + b[1]))
+
+    def either():
+        return chain({"or"}, both, lambda a, b: (max(a[0], b[0]), a[1] + b[1]))
+
+    value = either()
+    return value if at == len(tokens) else None
+
+
+def test_license_expressions_against_recursive_descent():
+    """The longest beginning that is whole, with open parentheses closed, has the value that a recursive parser gives."""
+    rng = random.Random(13)
+    whole = 0
+    for _ in range(3000):
+        tokens = []
+        for i in range(rng.randint(1, 9)):
+            operand, operator = rng.choice(["MIT", "GPL-2.0", "Apache-2.0", "X-1", "mpl-2.0"]), rng.choice(["and", "OR", "With", "or", "AND"])
+            tokens += [*["("] * (rng.random() < 0.2), operand] if i % 2 == 0 else [*[")"] * (rng.random() < 0.2), operator]
+        if rng.random() < 0.4:
+            tokens[rng.randrange(len(tokens))] = rng.choice(["(", ")", "MIT", "and"])
+        best = (0.0, [])
+        for n in range(len(tokens), 0, -1):
+            start = tokens[:n]
+            if value := descend(start + [")"] * max(0, start.count("(") - start.count(")"))):
+                best, whole = value, whole + (n > 3)
+                break
+        assert op1_license.evaluate(op1_license.to_postfix(" ".join(tokens))) == best, tokens
+    assert whole > 200
+
+
+def test_license_labels_against_brute_force(spark):
+    """Labels and score from all phrases and tags by plain search."""
+    rng = random.Random(14)
+    phrases = op1_license.NOTICE_PHRASES | op1_license.BASE_PHRASES
+    bits = [*phrases, "GNU Lesser", "license", "cc by", "\n", "x", "\n// SPDX-License-Identifier: MIT and (GPL-3.0-only or\n", "\n# spdx-license-identifier BSD-3-Clause\n"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 8))) for _ in range(300)]
+    for r in op1_license.scan(spark.createDataFrame([(x,) for x in texts], "text string").repartition(2)).collect():
+        line = f" {' '.join(WORDS.findall(r.text.translate(FOLD)))} "
+        labels = [label for p, label in phrases.items() if f" {p} " in line]
+        values = [op1_license.FREEDOM.get(x, op1_license.UNKNOWN_FREEDOM) for x in labels]
+        for m in re.finditer(r"(?i)spdx-license-identifier[ \t]*:?([^\r\n]*)", r.text):
+            value, found = op1_license.evaluate(op1_license.to_postfix(m[1]))
+            labels += found
+            values += [value] if found else []
+        assert r.license.labels == ",".join(sorted(set(labels))) and r.license.score == min([1.0, *values] if values else [0.0])
+
+
 def test_license_scans_are_linear():
     """Hits, tags and expressions of a long text don't look at its beginning again."""
     scanner = op1_license.Scanner(op1_license.BASE_PHRASES, op1_license.NOTICE_PHRASES, op1_license.FREEDOM)
