@@ -8,7 +8,7 @@ Tokens are folded words. What the model holds follows the corpus:
 2. Counts. Words are counted in 2^WIDEST bins over the whole corpus. The number of bins kept is twice to four times
    that of the distinct ones, so it grows with the corpus (up to 2^WIDEST, 4.2 million). The most frequent bins
    have an embedding row of their own, others share one; rows grow with the bins up to ROWS. In a tree of
-   CLASSES x CLASSES leaves the OWN most frequent bins have a leaf each, the others share leaves of bins
+   CLASSES x INNER leaves the OWN most frequent bins have a leaf each, the others share leaves of bins
    of about equal frequency, and unseen bins have the last leaf.
 3. Training. In each of ROUNDS rounds every shard trains the network from one shared start; the average of what
    the shards learnt, each weight by how often its inputs or targets occurred, is formed in Spark, and the next round
@@ -39,13 +39,14 @@ from tessera.llm.runtime import arrow_map, cut, drop, read, row_wise
 
 FEWEST, WIDEST = 12, 22
 ROWS = 1 << 16
-CLASSES = 64
-OWN = 3584
+CLASSES, INNER = 32, 64
+OWN = 1792
 SIDE = 2
 EMBEDDING = 8
 HIDDEN = 24
 ROUNDS = 2
-BATCH = 1024
+#: Targets of a step: FIRST, twice as many every GROWS steps, BATCH at most.
+FIRST, GROWS, BATCH = 256, 16, 4096
 RATE = 0.05
 SEED = 42
 SHARD_BYTES = 1 << 24
@@ -54,7 +55,7 @@ KEYS = 200_000
 #: Bytes of text scored at once: the window's intermediate arrays stay small.
 CHUNK = 1 << 17
 
-LEAVES = CLASSES * CLASSES
+LEAVES = CLASSES * INNER
 WIDTH = 8
 
 
@@ -83,6 +84,8 @@ class Lexicon:
     log_within: np.ndarray
     row: np.ndarray
     rows: int
+    #: Each leaf's share of the corpus.
+    share: np.ndarray
 
     @classmethod
     def of(cls, wide: np.ndarray, n: np.ndarray) -> Lexicon:
@@ -104,22 +107,30 @@ class Lexicon:
         own = rows * 3 // 4
         row = own + (np.arange(size, dtype=np.int64) * 0x9E3779B1 >> 7) % (rows - own)
         row[order[:own]] = np.arange(min(own, size))
-        return cls(bits, leaf, (np.log(weight) - np.log(mass[leaf])).astype(np.float32), row.astype(np.int32), rows)
+        mass = np.maximum(mass, 0.5)
+        return cls(bits, leaf, (np.log(weight) - np.log(mass[leaf])).astype(np.float32), row.astype(np.int32), rows, mass / mass.sum())
 
     def bins(self, wide: np.ndarray) -> np.ndarray:
         return wide >> (WIDEST - self.bits)
 
 
-def _log_softmax(logits: np.ndarray) -> np.ndarray:
+def _softmax(logits: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities, in place of the logits; log-probability of each row's target)."""
+    rows = np.arange(len(logits))
     logits -= logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    at = logits[rows, target]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1)
+    logits /= total[:, None]
+    return logits, at - np.log(total)
 
 
-def _groups(classes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(class, places) of the classes that occur."""
+def _by_class(leaves: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """(an order in which classes are contiguous, each class that occurs with its part of that order)."""
+    classes = (leaves // INNER).astype(np.int16)
     order = np.argsort(classes, kind="stable")
-    found, first = np.unique(classes[order], return_index=True)
-    return list(zip(found.tolist(), np.split(order, first[1:]), strict=True))
+    bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
+    return order, [(c, slice(bounds[c], bounds[c + 1])) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
 
 
 @dataclass
@@ -135,12 +146,15 @@ class Network:
     leaf_bias: np.ndarray
 
     @classmethod
-    def start(cls, rows: int, seed: int = SEED) -> Network:
+    def start(cls, lexicon: Lexicon, seed: int = SEED) -> Network:
+        """Random but for the biases, which are the leaves' shares of the corpus."""
         rng = np.random.default_rng(seed)
         normal = lambda *shape: rng.standard_normal(shape).astype(np.float32)
+        share = lexicon.share.reshape(CLASSES, INNER)
+        whole = share.sum(axis=1, keepdims=True)
         return cls(
-            normal(rows + 1, EMBEDDING) * np.float32(0.3), normal(2 * SIDE, EMBEDDING, HIDDEN) / np.float32(np.sqrt(2 * SIDE * EMBEDDING)), np.zeros(HIDDEN, np.float32),
-            normal(HIDDEN, CLASSES) * np.float32(0.1), np.zeros(CLASSES, np.float32), normal(CLASSES, HIDDEN, CLASSES) * np.float32(0.1), np.zeros((CLASSES, CLASSES), np.float32),
+            normal(lexicon.rows + 1, EMBEDDING) * np.float32(0.3), normal(2 * SIDE, EMBEDDING, HIDDEN) / np.float32(np.sqrt(2 * SIDE * EMBEDDING)), np.zeros(HIDDEN, np.float32),
+            normal(HIDDEN, CLASSES) * np.float32(0.1), np.log(whole[:, 0]).astype(np.float32), normal(CLASSES, HIDDEN, INNER) * np.float32(0.1), np.log(share / whole).astype(np.float32),
         )
 
     def parts(self) -> list[np.ndarray]:
@@ -150,42 +164,48 @@ class Network:
         return Network(*(p.copy() for p in self.parts()))
 
     def _active(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        seen = self.embedding[context]
-        return seen, np.tanh(self.hidden_bias + sum(seen[k] @ self.hidden[k] for k in range(len(context))))
+        """(the embeddings around each place side by side, the hidden layer)."""
+        seen = self.embedding[np.ascontiguousarray(context.T)].reshape(context.shape[1], -1)
+        active = seen @ self.hidden.reshape(-1, HIDDEN)
+        active += self.hidden_bias
+        return seen, np.tanh(active, out=active)
 
     def log_leaf(self, context: np.ndarray, leaves: np.ndarray) -> np.ndarray:
         """log P(leaf | window) of each place."""
-        classes, inner = np.divmod(leaves, CLASSES)
-        _, active = self._active(context)
-        out = _log_softmax(active @ self.top + self.top_bias)[np.arange(len(leaves)), classes]
-        for c, at in _groups(classes):
-            out[at] += _log_softmax(active[at] @ self.leaf[c] + self.leaf_bias[c])[np.arange(len(at)), inner[at]]
+        order, classes = _by_class(leaves)
+        leaves = leaves[order]
+        _, active = self._active(context[:, order])
+        _, found = _softmax(active @ self.top + self.top_bias, leaves // INNER)
+        for c, at in classes:
+            found[at] += _softmax(active[at] @ self.leaf[c] + self.leaf_bias[c], leaves[at] - c * INNER)[1]
+        out = np.empty(len(order))
+        out[order] = found
         return out
 
     def gradients(self, context: np.ndarray, leaves: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, list[np.ndarray], dict[int, tuple[np.ndarray, np.ndarray]]]:
         """(weighted mean loss, embedding rows met, their gradients, those of hidden to top_bias, those of each class' leaf and leaf_bias)."""
-        classes, inner = np.divmod(leaves, CLASSES)
-        share = (weights / weights.sum()).astype(np.float32)
+        order, classes = _by_class(leaves)
+        leaves, context = leaves[order], context[:, order]
+        share = (weights[order] / weights.sum()).astype(self.top.dtype)
         seen, active = self._active(context)
-        log_p = _log_softmax(active @ self.top + self.top_bias)
-        loss = log_p[np.arange(len(leaves)), classes]
-        p = np.exp(log_p)
-        p[np.arange(len(leaves)), classes] -= 1
+        places = np.arange(len(leaves))
+        p, loss = _softmax(active @ self.top + self.top_bias, leaves // INNER)
+        p[places, leaves // INNER] -= 1
         p *= share[:, None]
         back = p @ self.top.T
         by_class = {}
-        for c, at in _groups(classes):
-            log_q = _log_softmax(active[at] @ self.leaf[c] + self.leaf_bias[c])
-            loss[at] += log_q[np.arange(len(at)), inner[at]]
-            q = np.exp(log_q)
-            q[np.arange(len(at)), inner[at]] -= 1
+        for c, at in classes:
+            inner = leaves[at] - c * INNER
+            q, more = _softmax(active[at] @ self.leaf[c] + self.leaf_bias[c], inner)
+            loss[at] += more
+            q[places[: len(inner)], inner] -= 1
             q *= share[at, None]
             back[at] += q @ self.leaf[c].T
             by_class[c] = active[at].T @ q, q.sum(axis=0)
         back *= 1 - active**2
-        dense = [np.stack([seen[k].T @ back for k in range(len(context))]), back.sum(axis=0), active.T @ p, p.sum(axis=0)]
-        each = np.concatenate([back @ self.hidden[k].T for k in range(len(context))])
-        touched = context.ravel()
+        dense = [(seen.T @ back).reshape(self.hidden.shape), back.sum(axis=0), active.T @ p, p.sum(axis=0)]
+        each = (back @ self.hidden.reshape(-1, HIDDEN).T).reshape(-1, EMBEDDING)
+        touched = context.T.ravel()
         order = np.argsort(touched, kind="stable")
         rows, first = np.unique(touched[order], return_index=True)
         return -float(loss @ share), rows, np.add.reduceat(each[order], first, axis=0), dense, by_class
@@ -221,7 +241,7 @@ class Network:
         end = rows + -(-sum(sizes) // WIDTH)
         dense = np.split(lines[rows:end].ravel()[: sum(sizes)], np.cumsum(sizes)[:-1])
         inner = lines[end:].reshape(CLASSES, -1)
-        parts = [lines[:rows], *dense, inner[:, : HIDDEN * CLASSES], inner[:, HIDDEN * CLASSES :]]
+        parts = [lines[:rows], *dense, inner[:, : HIDDEN * INNER], inner[:, HIDDEN * INNER :]]
         return Network(*(np.ascontiguousarray(new.reshape(old.shape), dtype=np.float32) for new, old in zip(parts, self.parts(), strict=True)))
 
 
@@ -295,29 +315,35 @@ class Shard:
         self.memory = [np.full(p.shape, 1e-4, dtype=np.float32) for p in network.parts()]
         self.seen = np.zeros(len(network.embedding) + 1 + CLASSES, dtype=np.int64)
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
+        self.size = self.steps = 0
+
+    def _batch(self) -> int:
+        return min(FIRST << self.steps // GROWS, BATCH)
 
     def add(self, context: np.ndarray, leaves: np.ndarray, weights: np.ndarray) -> None:
         self.held.append((context, leaves, weights))
         self.size += len(leaves)
-        if self.size >= BATCH:
-            self._learn(self.size - self.size % BATCH)
+        if self.size >= self._batch():
+            self._learn()
 
-    def _learn(self, whole: int) -> None:
+    def _learn(self, last: bool = False) -> None:
+        """Whole steps of what waits; all of it if it is the last."""
         context, leaves, weights = (np.concatenate(x, axis=-1) for x in zip(*self.held, strict=True))
-        for at in range(0, whole, BATCH):
-            part = slice(at, min(at + BATCH, whole))
+        done = 0
+        while self.size - done >= self._batch() or (last and done < self.size):
+            part = slice(done, min(done + self._batch(), self.size))
             self.network.learn(context[:, part], leaves[part], weights[part], self.memory)
+            done, self.steps = part.stop, self.steps + 1
         rows = len(self.network.embedding)
-        self.seen[:rows] += np.bincount(context[:, :whole].ravel(), np.tile(weights[:whole], len(context)), rows).astype(np.int64)
-        self.seen[rows] += weights[:whole].sum()
-        self.seen[rows + 1 :] += np.bincount(leaves[:whole] // CLASSES, weights[:whole], CLASSES).astype(np.int64)
-        self.held, self.size = [(context[:, whole:], leaves[whole:], weights[whole:])], self.size - whole
+        self.seen[:rows] += np.bincount(context[:, :done].ravel(), np.tile(weights[:done], len(context)), rows).astype(np.int64)
+        self.seen[rows] += int(weights[:done].sum())
+        self.seen[rows + 1 :] += np.bincount(leaves[:done] // INNER, weights[:done], CLASSES).astype(np.int64)
+        self.held, self.size = [(context[:, done:], leaves[done:], weights[done:])], self.size - done
 
     def result(self) -> pa.RecordBatch:
         """The lines that were met, with what they count by."""
         if self.size:
-            self._learn(self.size)
+            self._learn(last=True)
         lines, of = self.network.listed()
         met = np.flatnonzero(self.seen[of])
         columns = [pa.array(met.astype(np.int32)), *(pa.array(lines[met, k]) for k in range(WIDTH)), pa.array(self.seen[of[met]])]
@@ -358,7 +384,7 @@ def fit(docs: DataFrame) -> tuple[Network, Lexicon]:
     """The network and lexicon of a corpus (a text column named text)."""
     shards = sharded(docs)
     lexicon = Lexicon.of(*counts(shards))
-    network = Network.start(lexicon.rows)
+    network = Network.start(lexicon)
     for nth in range(ROUNDS):
         network = trained(shards, lexicon, network, nth)
     drop(shards)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import random
 import re
 import time
@@ -534,7 +535,7 @@ def test_lm_scores_against_brute_force(spark, corpus, odd, nothing):
             hidden = np.tanh(network.hidden_bias + sum(network.embedding[v] @ network.hidden[k] for k, v in enumerate(around)))
             top, leaf = hidden @ network.top + network.top_bias, int(lexicon.leaf[b])
             inner = hidden @ network.leaf[leaf // 64] + network.leaf_bias[leaf // 64]
-            total += top[leaf // 64] - np.log(np.exp(top).sum()) + inner[leaf % 64] - np.log(np.exp(inner).sum()) + lexicon.log_within[b]
+            total += top[leaf // op8_lm.INNER] - np.log(np.exp(top).sum()) + inner[leaf % 64] - np.log(np.exp(inner).sum()) + lexicon.log_within[b]
         assert r.lm.n_tokens == len(bins) and abs(r.lm.log_likelihood - total) <= 1e-3 * max(1, abs(total))
         assert (r.lm["mean"] is None) == (len(bins) == 0)
     mass = np.bincount(lexicon.leaf, weights=np.exp(lexicon.log_within.astype(np.float64)), minlength=op8_lm.LEAVES)
@@ -545,7 +546,7 @@ def test_lm_scores_against_brute_force(spark, corpus, odd, nothing):
 def test_lm_gradients():
     """The loss is the weighted mean of log_leaf, and the gradients agree with differences."""
     rng = np.random.default_rng(6)
-    network = op8_lm.Network(*(p.astype(np.float64) for p in op8_lm.Network.start(30).parts()))
+    network = op8_lm.Network(*(p.astype(np.float64) for p in op8_lm.Network.start(dataclasses.replace(op8_lm.Lexicon.of(np.arange(50), np.arange(1, 51)), rows=30)).parts()))
     context, leaves, weights = rng.integers(0, 31, (4, 50)), rng.integers(0, 200, 50), rng.integers(1, 5, 50).astype(float)
     loss, rows, g_rows, dense, by_class = network.gradients(context, leaves, weights)
     assert abs(loss + (network.log_leaf(context, leaves) * weights).sum() / weights.sum()) < 1e-6
@@ -556,7 +557,7 @@ def test_lm_gradients():
         whole[5][c], whole[6][c] = g, g_bias
     for p, g in zip(network.parts(), whole, strict=True):
         for _ in range(10):
-            at = tuple(rng.integers(0, n) for n in (p.shape if p.shape[0] != 64 else (4, *p.shape[1:])))
+            at = tuple(rng.integers(0, n) for n in (p.shape if p.shape[0] != op8_lm.CLASSES else (4, *p.shape[1:])))
             held, ends = p[at], []
             for step in (1e-5, -1e-5):
                 p[at] = held + step
@@ -583,7 +584,7 @@ def test_lm_trains_on_every_place(spark, corpus, monkeypatch):
     monkeypatch.setattr(op8_lm.Network, "learn", lambda self, context, leaves, weights, memory: (nets.append(self), learnt.extend(zip(map(tuple, context.T.tolist()), leaves.tolist(), weights.tolist(), strict=True))))
     lexicon = op8_lm.Lexicon.of(*op8_lm.counts(shards))
     for nth in range(op8_lm.ROUNDS):
-        op8_lm.trained(shards, lexicon, op8_lm.Network.start(lexicon.rows), nth)
+        op8_lm.trained(shards, lexicon, op8_lm.Network.start(lexicon), nth)
     want = []
     for text, n in seen.items():
         doc, wide = op8_lm.tokens(next(chunks(pa.array([text]))))
