@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import Chunk, chunks
-from tessera.llm.runtime import arrow_map, by_ids, cut, drop, read, row_wise
+from tessera.llm.runtime import arrow_map, by_ids, cut, drop, one_thread, read, row_wise
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -193,6 +193,7 @@ def predicted(text: Column, network: Network | None) -> Column:
         return F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"))
 
     def run(batches):  # noqa: ANN001, ANN202
+        one_thread()
         names = np.array([*network.languages, "und"], dtype=object)
         for texts in batches:
             best, score = np.full(len(texts), len(network.languages)), np.zeros(len(texts))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bytetext import ALNUM, Chunk, chunks, mix
-from tessera.llm.runtime import arrow_map, cut, drop, read, row_wise
+from tessera.llm.runtime import arrow_map, cut, drop, one_thread, read, row_wise
 
 FEWEST, WIDEST = 12, 22
 ROWS = 1 << 16
@@ -354,6 +354,7 @@ def trained(shards: DataFrame, lexicon: Lexicon, start: Network, nth: int) -> Ne
     """Round `nth`: shards train apart, and the average of what they learnt is formed in Spark."""
 
     def run(batches):  # noqa: ANN001, ANN202
+        one_thread()
         shard, now = None, None
         for batch in batches:
             of, n = batch.column("shard").to_numpy(), batch.column("n").to_numpy().astype(np.float64)
@@ -396,6 +397,7 @@ def score(docs: DataFrame, model: tuple[Network, Lexicon], text: str = "text", o
     network, lexicon = model
 
     def run(batches):  # noqa: ANN001, ANN202
+        one_thread()
         for texts in batches:
             total, n = np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
             for chunk in chunks(texts, CHUNK):

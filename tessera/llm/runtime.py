@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import glob
+import os
 import tempfile
 import uuid
 import weakref
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +104,19 @@ def row_wise(run: Callable, ddl: str) -> Callable:
     return F.arrow_udf(run, ddl, F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
 
 
+def one_thread() -> None:
+    """Let numpy's BLAS use one thread in this Python worker.
+
+    A task has one core; with products of narrow matrices further threads only wait for each other. Without such a library nothing changes.
+    """
+    for path in glob.glob(f"{os.path.dirname(np.__file__)}.libs/*openblas*"):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(ctypes.c_int(1))
+                break
+
+
 def unit_hash(*columns: str | Column) -> Column:
     """A number in [0, 1) from a hash of the columns, the same on every run."""
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
