@@ -49,7 +49,9 @@ ROUNDS = 2
 FIRST, GROWS, BATCH = 256, 16, 4096
 RATE = 0.05
 SEED = 42
+#: A shard's bytes, about, and the most shards: from 1.7 TB of text on, shards grow instead of their number.
 SHARD_BYTES = 1 << 24
+SHARDS = 100_000
 #: Keys that a task holds while it joins copies.
 KEYS = 200_000
 #: Bytes of text scored at once: the window's intermediate arrays stay small.
@@ -253,7 +255,7 @@ def sharded(docs: DataFrame) -> DataFrame:
     """
     filled = docs.where("text IS NOT NULL").select("text")
     total = filled.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-total // SHARD_BYTES))
+    shards = min(max(1, -(-total // SHARD_BYTES)), SHARDS)
     keyed = filled.select(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"), "text")
 
     def joined(batches):  # noqa: ANN001, ANN202
